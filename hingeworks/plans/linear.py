@@ -19,7 +19,7 @@ from hingeworks.operators.updates import (
     pegasos_update,
     sqrt_update,
 )
-from hingeworks.plans.descent import SEED, Descent, descend
+from hingeworks.plans.descent import SEED, Descent, Setting, descend
 from hingeworks.functions.kernels import Kernel
 
 
@@ -52,7 +52,7 @@ def train_linear_pegasos(points: DataFrame, *, iterations: int = 100, reg: float
         start = np.zeros(_width(blocks) + bias)
         descent = Descent(iterations, reg, linear_pegasos_update, bias=bias,
                           penalty_after=True, seed=seed)
-        weights, (trace,) = descend(blocks, start, descent)
+        weights, (trace,) = descend(blocks, start, descent, [Setting(fraction=fraction)])
     finally:
         blocks.release()
     return _result(weights[:, 0], bias, trace)
@@ -70,8 +70,6 @@ def train_with_rule(points: DataFrame, updater: Updater, *, iterations: int = 10
     trains on features divided by their standard deviation and maps the
     weights back.
     """
-    from hingeworks.plans.descent import Setting
-
     blocks = pack_and_check(points, storage=storage)
     try:
         if validate and blocks.bad_labels:
