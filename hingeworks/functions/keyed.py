@@ -61,7 +61,7 @@ def key_hash(keys: np.ndarray) -> np.ndarray:
         return _hash_long(bits, np.uint64(_SPARK_HASH_SEED))
 
 
-def uniform_from_hash(hashed: np.ndarray, seed: int) -> np.ndarray:
+def uniform_from_hash(hashed: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = np.atleast_1d(np.asarray(seed, dtype=np.int64)).view(np.uint64)
         return (_hash_long(s, hashed) >> np.uint64(11)).astype(np.float64) * _UNIT

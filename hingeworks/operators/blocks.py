@@ -22,16 +22,20 @@ from hingeworks.functions.keyed import key_hash, uniform_from_hash
 
 # Measured: blocks and transfers that stay inside the core's cache are about
 # twice as fast as multi-megabyte ones.
-BLOCK_BYTES = 256 * 1024
-TRANSFER_BYTES = 2 * 1024 * 1024
+BLOCK_BYTES = 128 * 1024
+TRANSFER_BYTES = 1024 * 1024
+# A table is spread anew when its fullest partition has this many times the mean.
+UNEVEN = 4
 # Partial vectors from up to this many tasks are added on the driver; more are
 # first added by position across the cluster.
 DIRECT_PARTIALS = 64
 # An extraction task holds at most about this much before it emits blocks.
-EXTRACT_BYTES = 16 * 1024 * 1024
+EXTRACT_BYTES = 8 * 1024 * 1024
 
-BLOCK_SCHEMA = "rows int, width int, bad_labels int, ids binary, labels binary, cells binary"
-BATCH_SCHEMA = "iter int, ids binary, labels binary, cells binary"
+BLOCK_COLUMNS = ("rows", "width", "ids", "labels", "cells")
+_COLUMN_TYPES = "rows int, width int, ids binary, labels binary, cells binary"
+BLOCK_SCHEMA = f"bad_labels int, {_COLUMN_TYPES}"
+BATCH_SCHEMA = f"iter int, {_COLUMN_TYPES}"
 PARTIAL_SCHEMA = "state array<double>"
 
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -89,24 +93,53 @@ def point_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
 def packed_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
     """``(ids, labels, matrix)`` from batches of packed blocks, without copies."""
     for batch in batches:
-        for ids, labels, cells in zip(
-            batch.column("ids"), batch.column("labels"), batch.column("cells")
-        ):
-            ids = np.frombuffer(ids.as_buffer(), dtype=np.int64)
-            cells = np.frombuffer(cells.as_buffer(), dtype=np.float64)
-            yield ids, np.frombuffer(labels.as_buffer()), cells.reshape(len(ids), -1)
-
-
-def _pieces(block: Block) -> Iterator[Block]:
+        shapes = zip(batch.column("rows").to_pylist(), batch.column("width").to_pylist())
+        columns = [batch.column(name) for name in ("ids", "labels", "cells")]
+        for i, shape in enumerate(shapes):
+            ids, labels, cells = (c[i].as_buffer() for c in columns)
+            narrow = cells.size < 8 * shape[0] * shape[1]
+            flat = np.frombuffer(cells, np.float32 if narrow else np.float64)
+            matrix = flat.reshape(shape).astype(np.float64, copy=False)
+            yield np.frombuffer(ids, np.int64), np.frombuffer(labels, np.float64), matrix
+
+
+def _narrowed(cells: np.ndarray) -> np.ndarray:
+    """The matrix in single precision where that loses nothing."""
+    for part in (cells[:4], cells):
+        narrow = part.astype(np.float32)
+        if not np.array_equal(narrow, part):
+            return cells
+    return narrow
+
+
+def _pieces(bounds: np.ndarray, width: int) -> np.ndarray:
+    """Row numbers at which blocks start, none across a bound, and the last bound."""
+    step = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    starts = [np.arange(a, b, step) for a, b in zip(bounds[:-1], bounds[1:])]
+    return np.concatenate([*starts, bounds[-1:]])
+
+
+def _sliced(array: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values over one buffer: the rows between consecutive cuts."""
+    array = np.ascontiguousarray(array)
+    offsets = (cuts * (array.nbytes // max(1, len(array)))).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(array)]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, buffers)
+
+
+def _block_columns(block: Block,
+                   bounds: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Where the blocks of a matrix start, and their columns."""
     ids, labels, cells = block
-    step = max(1, BLOCK_BYTES // (8 * max(1, cells.shape[1])))
-    for start in range(0, len(ids), step):
-        part = slice(start, start + step)
-        yield ids[part], labels[part], cells[part]
-
-
-def _binary(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([np.ascontiguousarray(a).tobytes() for a in arrays], pa.binary())
+    cuts = _pieces(np.array([0, len(ids)]) if bounds is None else bounds, cells.shape[1])
+    columns = {
+        "rows": pa.array(np.diff(cuts), pa.int32()),
+        "width": pa.array(np.full(len(cuts) - 1, cells.shape[1]), pa.int32()),
+        "ids": _sliced(ids, cuts),
+        "labels": _sliced(labels, cuts),
+        "cells": _sliced(_narrowed(cells), cuts),
+    }
+    return cuts, columns
 
 
 def _pack_task(feature_map: Callable[[np.ndarray], np.ndarray] | None):
@@ -114,19 +147,10 @@ def _pack_task(feature_map: Callable[[np.ndarray], np.ndarray] | None):
         for ids, labels, cells in point_batches(batches):
             if feature_map is not None:
                 cells = feature_map(cells)
-            for piece_ids, piece_labels, piece in _pieces((ids, labels, cells)):
-                bad = int(np.count_nonzero((piece_labels != 0.0) & (piece_labels != 1.0)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([len(piece_ids)], pa.int32()),
-                        pa.array([piece.shape[1]], pa.int32()),
-                        pa.array([bad], pa.int32()),
-                        _binary([piece_ids]),
-                        _binary([piece_labels]),
-                        _binary([piece]),
-                    ],
-                    names=["rows", "width", "bad_labels", "ids", "labels", "cells"],
-                )
+            cuts, columns = _block_columns((ids, labels, cells))
+            bad = (labels != 0.0) & (labels != 1.0)
+            bad = pa.array(np.add.reduceat(bad, cuts[:-1], dtype=int), pa.int32())
+            yield pa.RecordBatch.from_pydict({"bad_labels": bad, **columns})
 
     return task
 
@@ -160,18 +184,40 @@ def pack_and_check(points: DataFrame,
                    storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> BlockTable:
     """Pack, cache and validate in a single pass over the source."""
     frame = pack(points, feature_map).persist(storage)
-    counted = frame.select("rows", "width", "bad_labels", F.spark_partition_id().alias("part"))
-    seen = counted.agg(
+    parts = _partition_counts(frame)
+    seen = parts.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        F.min("width").alias("low"),
-        F.max("width").alias("high"),
-        F.coalesce(F.sum("bad_labels"), F.lit(0)).alias("bad"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
         F.coalesce(F.max("part") + 1, F.lit(0)).alias("partitions"),
+        F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"),
+        F.coalesce(F.max("blocks"), F.lit(0)).alias("most"),
     ).first()
     if seen["low"] != seen["high"]:
         frame.unpersist()
         raise ValueError(f"points have between {seen['low']} and {seen['high']} features")
-    return BlockTable(frame, seen["rows"], seen["low"], seen["bad"], seen["partitions"])
+    partitions = seen["partitions"]
+    # Input that could not be split (one large compressed file, say) is spread once.
+    slots = frame.sparkSession.sparkContext.defaultParallelism
+    wanted = max(partitions, min(slots, seen["blocks"]))
+    if seen["most"] > UNEVEN * max(1, -(-seen["blocks"] // max(1, wanted))):
+        even = frame.repartition(wanted).persist(storage)
+        even.count()
+        frame.unpersist()
+        frame, partitions = even, wanted
+    return BlockTable(frame, seen["rows"], seen["low"], seen["bad"], partitions)
+
+
+def _partition_counts(frame: DataFrame) -> DataFrame:
+    parts = frame.select("rows", "width", "bad_labels", F.spark_partition_id().alias("part"))
+    return parts.groupBy("part").agg(
+        F.sum("rows").alias("rows"),
+        F.min("width").alias("low"),
+        F.max("width").alias("high"),
+        F.sum("bad_labels").alias("bad"),
+        F.count(F.lit(1)).alias("blocks"),
+    )
 
 
 def extract_batches(blocks: DataFrame, iterations: range, fraction: float, seed: int) -> DataFrame:
@@ -182,37 +228,32 @@ def extract_batches(blocks: DataFrame, iterations: range, fraction: float, seed:
     ordered by iteration inside each partition: once cached, an iteration reads
     its own rows and the column statistics skip the rest.
     """
-    numbers = list(iterations)
+    numbers = np.array(iterations, dtype=np.int64)
 
-    def task(batches):
-        held: dict[int, list[Block]] = {}
-        size = 0
-
-        def emit():
-            for number in sorted(held):
-                parts = held[number]
-                whole = tuple(np.concatenate([p[j] for p in parts]) for j in range(3))
-                for ids, labels, cells in _pieces(whole):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number], pa.int32()), _binary([ids]), _binary([labels]),
-                         _binary([cells])],
-                        names=["iter", "ids", "labels", "cells"],
-                    )
+    def emit(held):
+        number, *columns = (np.concatenate(parts) for parts in zip(*held))
+        order = np.argsort(number, kind="stable")
+        number = number[order]
+        bounds = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(number))
+        cuts, columns = _block_columns(tuple(c[order] for c in columns), bounds)
+        of = pa.array(number[cuts[:-1]], pa.int32())
+        return pa.RecordBatch.from_pydict({"iter": of, **columns})
 
+    def task(batches):
+        held, size = [], 0
         for ids, labels, cells in packed_batches(batches):
-            hashed = key_hash(ids)
-            for number in numbers:
-                chosen = np.flatnonzero(uniform_from_hash(hashed, seed + number) < fraction)
-                if len(chosen):
-                    taken = cells[chosen]
-                    held.setdefault(number, []).append((ids[chosen], labels[chosen], taken))
-                    size += taken.nbytes
+            drawn = uniform_from_hash(key_hash(ids)[:, None], seed + numbers) < fraction
+            row, which = np.nonzero(drawn)
+            if len(row):
+                held.append((numbers[which], ids[row], labels[row], cells[row]))
+                size += held[-1][-1].nbytes
             if size >= EXTRACT_BYTES:
-                yield from emit()
-                held, size = {}, 0
-        yield from emit()
+                yield emit(held)
+                held, size = [], 0
+        if held:
+            yield emit(held)
 
-    packed = blocks.select("ids", "labels", "cells")
+    packed = blocks.select(*BLOCK_COLUMNS)
     return packed.mapInArrow(task, BATCH_SCHEMA).sortWithinPartitions("iter")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.models import Trace
 from hingeworks.operators.blocks import (
+    BLOCK_COLUMNS,
     BlockTable,
     add_up,
     extract_batches,
@@ -64,6 +65,7 @@ class _Batches:
 
     def __init__(self, blocks: BlockTable, descent: Descent, settings: Sequence[Setting]):
         self._blocks = blocks
+        self._whole = blocks.frame.select(*BLOCK_COLUMNS)
         self._descent = descent
         self._fractions = tuple(s.fraction for s in settings)
         self._largest = max(self._fractions)
@@ -72,25 +74,26 @@ class _Batches:
         self._extracted: DataFrame | None = None
         self._until = 0
         spark = blocks.spark
-        self._tasks = max(
+        self._tasks = min(blocks.partitions, max(
             spark.sparkContext.defaultParallelism,
             math.ceil(blocks.partitions * self._largest),
-        )
+        ))
 
-    def at(self, iteration: int) -> tuple[DataFrame, BatchRule | None]:
+    def at(self, iteration: int) -> tuple[DataFrame, BatchRule | None, int]:
+        """The blocks that hold the batch, which of their rows count, and the task number."""
         descent = self._descent
         rule = BatchRule(descent.seed + iteration, self._fractions, self._shares,
                          descent.share_seed)
         if self._largest >= EXTRACT_BELOW:
             plain = min(self._fractions) >= 1.0 and self._shares is None
-            return self._blocks.frame.select("ids", "labels", "cells"), None if plain else rule
+            return self._whole, None if plain else rule, self._blocks.partitions
         if iteration > self._until:
             self._extract(iteration)
         frame = self._extracted.where(F.col("iter") == iteration)
         if self._tasks < self._blocks.partitions:
             frame = frame.coalesce(self._tasks)
         alike = min(self._fractions) == self._largest and self._shares is None
-        return frame.select("ids", "labels", "cells"), None if alike else rule
+        return frame.select(*BLOCK_COLUMNS), None if alike else rule, self._tasks
 
     def _extract(self, first: int) -> None:
         self.release()
@@ -139,10 +142,10 @@ def descend(blocks: BlockTable, start: np.ndarray, descent: Descent,
     try:
         with small_transfers(blocks.spark):
             for iteration in range(1, descent.iterations + 1):
-                frame, rule = batches.at(iteration)
+                frame, rule, tasks = batches.at(iteration)
                 fold = gradient_fold(weights * scale[:, None], descent.bias, rule,
                                      descent.gradient)
-                state = add_up(partial_sums(frame, fold, packed_batches), blocks.partitions)
+                state = add_up(partial_sums(frame, fold, packed_batches), tasks)
                 if state is None:
                     log.warning("iteration %d has an empty batch", iteration)
                     continue

@@ -16,7 +16,7 @@ from hingeworks.functions.keyed import normal, normal_array, uniform
 
 POINT_SCHEMA = "id long, label double, features array<double>"
 # Rows of wide data are made this many cells at a time.
-_CELLS = 64 * 1024
+_CELLS = 8 * 1024
 
 
 def ordinals(spark: SparkSession, rows: int, partitions: int | None = None) -> DataFrame:
