@@ -24,8 +24,10 @@ from hingeworks.functions.keyed import key_hash, uniform_from_hash
 # twice as fast as multi-megabyte ones.
 BLOCK_BYTES = 128 * 1024
 TRANSFER_BYTES = 1024 * 1024
-# A table is spread anew when its fullest partition has this many times the mean.
-UNEVEN = 4
+# A table is spread anew when its fullest partition has more than this many
+# blocks and more than this many times the mean.
+FULL_BLOCKS = 32
+UNEVEN = 2
 # Partial vectors from up to this many tasks are added on the driver; more are
 # first added by position across the cluster.
 DIRECT_PARTIALS = 64
@@ -201,7 +203,7 @@ def pack_and_check(points: DataFrame,
     # Input that could not be split (one large compressed file, say) is spread once.
     slots = frame.sparkSession.sparkContext.defaultParallelism
     wanted = max(partitions, min(slots, seen["blocks"]))
-    if seen["most"] > UNEVEN * max(1, -(-seen["blocks"] // max(1, wanted))):
+    if seen["most"] > max(FULL_BLOCKS, UNEVEN * seen["blocks"] / max(1, wanted)):
         even = frame.repartition(wanted).persist(storage)
         even.count()
         frame.unpersist()

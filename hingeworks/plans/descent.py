@@ -8,7 +8,6 @@ the source, and keyed sampling picks the same rows again.
 from __future__ import annotations
 
 import logging
-import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -60,12 +59,22 @@ class Descent:
     share_seed: int = 0
 
 
+def fold_tasks(partitions: int, share: float, slots: int) -> int:
+    """How many tasks fold a cached table of which ``share`` is read.
+
+    One task folds several cached partitions, which saves task starts and
+    partial vectors; long scans get a few tasks per slot, so that a slow one
+    can be evened out.
+    """
+    waves = max(1, min(3, int(partitions * share) // (8 * slots)))
+    return min(partitions, slots * waves)
+
+
 class _Batches:
     """Hands out the rows of each iteration, extracting ahead for small fractions."""
 
     def __init__(self, blocks: BlockTable, descent: Descent, settings: Sequence[Setting]):
         self._blocks = blocks
-        self._whole = blocks.frame.select(*BLOCK_COLUMNS)
         self._descent = descent
         self._fractions = tuple(s.fraction for s in settings)
         self._largest = max(self._fractions)
@@ -73,11 +82,13 @@ class _Batches:
         self._shares = shares if min(shares) < 1.0 else None
         self._extracted: DataFrame | None = None
         self._until = 0
-        spark = blocks.spark
-        self._tasks = min(blocks.partitions, max(
-            spark.sparkContext.defaultParallelism,
-            math.ceil(blocks.partitions * self._largest),
-        ))
+        slots = blocks.spark.sparkContext.defaultParallelism
+        share = self._largest if self._largest < EXTRACT_BELOW else 1.0
+        self._tasks = fold_tasks(blocks.partitions, share, slots)
+        self._whole = self._fewer(blocks.frame.select(*BLOCK_COLUMNS))
+
+    def _fewer(self, frame: DataFrame) -> DataFrame:
+        return frame.coalesce(self._tasks) if self._tasks < self._blocks.partitions else frame
 
     def at(self, iteration: int) -> tuple[DataFrame, BatchRule | None, int]:
         """The blocks that hold the batch, which of their rows count, and the task number."""
@@ -86,12 +97,10 @@ class _Batches:
                          descent.share_seed)
         if self._largest >= EXTRACT_BELOW:
             plain = min(self._fractions) >= 1.0 and self._shares is None
-            return self._whole, None if plain else rule, self._blocks.partitions
+            return self._whole, None if plain else rule, self._tasks
         if iteration > self._until:
             self._extract(iteration)
-        frame = self._extracted.where(F.col("iter") == iteration)
-        if self._tasks < self._blocks.partitions:
-            frame = frame.coalesce(self._tasks)
+        frame = self._fewer(self._extracted.where(F.col("iter") == iteration))
         alike = min(self._fractions) == self._largest and self._shares is None
         return frame.select(*BLOCK_COLUMNS), None if alike else rule, self._tasks
 

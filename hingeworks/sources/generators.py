@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hingeworks.functions.keyed import normal, normal_array, uniform
 
 POINT_SCHEMA = "id long, label double, features array<double>"
-# Rows of wide data are made this many cells at a time.
+# Cells handed over at a time, and cells made at a time (within the core's cache).
+_BATCH_CELLS = 128 * 1024
 _CELLS = 8 * 1024
 
 
@@ -27,14 +28,17 @@ def gaussian_classes(indices: DataFrame, width: int, seed: int = 0) -> DataFrame
     """Alternating classes, 1.0 ~ N(+1, 1) and 0.0 ~ N(-1, 1), in ``width`` dimensions."""
 
     def task(batches):
-        step = max(1, _CELLS // width)
+        rows, step = max(1, _BATCH_CELLS // width), max(1, _CELLS // width)
         for batch in batches:
             index = batch.column("idx").to_numpy()
-            for start in range(0, len(index), step):
-                k = index[start : start + step]
+            for start in range(0, len(index), rows):
+                k = index[start : start + rows]
                 label = 1.0 - (k % 2)
-                cells = normal_array(k[:, None] * width + np.arange(width), seed)
-                cells += (label * 2.0 - 1.0)[:, None]
+                cells = np.empty((len(k), width))
+                for at in range(0, len(k), step):
+                    part = slice(at, at + step)
+                    keys = k[part, None] * width + np.arange(width)
+                    cells[part] = normal_array(keys, seed) + (label[part, None] * 2.0 - 1.0)
                 ends = pa.array(np.arange(0, cells.size + 1, width, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k), pa.array(label),
