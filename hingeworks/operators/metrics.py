@@ -24,12 +24,12 @@ def auroc(scored: DataFrame, score: str = "score", label: str = "label") -> Data
     Rows are first added up per distinct score, so a score shared by much of
     the table costs one row after the map side.
     """
-    positive = F.col(label) > 0.5
-    groups = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.sum(F.when(positive, 1.0).otherwise(0.0)).alias("pos"),
-        F.sum(F.when(positive, 0.0).otherwise(1.0)).alias("neg"),
+    positive = F.when(F.col(label) > 0.5, 1.0).otherwise(0.0)
+    rows = scored.select(
+        F.col(score).cast("double").alias("s"), positive.alias("pos"), (1.0 - positive).alias("neg")
     )
-    ranked = running_sums(groups, "s", {"neg_upto": "neg"})
+    groups = rows.groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranked = running_sums(groups, "s", {"neg_upto": "neg"}, ungrouped=rows)
     wins = F.col("pos") * (F.col("neg_upto") - F.lit(0.5) * F.col("neg"))
     pairs = F.sum("pos") * F.sum("neg")
     return ranked.agg(F.when(pairs > 0, F.sum(wins) / pairs).alias("auroc"))

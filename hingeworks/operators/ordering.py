@@ -18,21 +18,21 @@ from hingeworks.functions.vectors import literal_vector
 _KEY, _BUCKET = "__order_key", "__order_bucket"
 
 
-def _bucketed(frame: DataFrame, key: str, buckets: int) -> DataFrame:
+def _splits(frame: DataFrame, key: str, buckets: int | None) -> list[float]:
+    buckets = buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = frame.select(
         F.percentile_approx(F.col(key).cast("double"), shares or [0.5], max(10000, 20 * buckets))
     ).first()[0]
-    splits = [-np.inf, *sorted(set(cuts or [])), np.inf]
+    return [-np.inf, *sorted(set(cuts or [])), np.inf]
+
+
+def _bucketed(frame: DataFrame, key: str, splits: list[float]) -> DataFrame:
     keyed = frame.withColumn(_KEY, F.col(key).cast("double"))
     bucketizer = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET)
     return bucketizer.transform(keyed).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
 
 
-def _bucket_count(frame: DataFrame, buckets: int | None) -> int:
-    return buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _starts(frame: DataFrame, values: Sequence) -> list[np.ndarray]:
     """Per value, the exclusive running total at the start of every bucket."""
     totals = frame.groupBy(_BUCKET).agg(
@@ -46,13 +46,17 @@ def _starts(frame: DataFrame, values: Sequence) -> list[np.ndarray]:
 
 
 def running_sums(frame: DataFrame, key: str, sums: dict[str, str],
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, ungrouped: DataFrame | None = None) -> DataFrame:
     """Add ``name = inclusive running sum of column`` in ascending ``key`` order.
 
-    ``key`` must be unique, so that no bucket can be filled by one value.
+    ``key`` must be unique, so that no bucket can be filled by one value. Where
+    ``frame`` sums up an ``ungrouped`` table of the same columns per key, the
+    buckets and their totals are taken from that, without grouping it again.
     """
-    cut = _bucketed(frame, key, _bucket_count(frame, buckets))
-    starts = _starts(cut, [F.col(c) for c in sums.values()])
+    source = frame if ungrouped is None else ungrouped
+    splits = _splits(source, key, buckets)
+    starts = _starts(_bucketed(source, key, splits), [F.col(c) for c in sums.values()])
+    cut = _bucketed(frame, key, splits)
     ordered = Window.partitionBy(_BUCKET).orderBy(key).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -65,7 +69,7 @@ def running_sums(frame: DataFrame, key: str, sums: dict[str, str],
 def row_index(frame: DataFrame, key: str = "id", name: str = "idx",
               buckets: int | None = None) -> DataFrame:
     """Dense index 0..n-1 in the order of the unique ``key``."""
-    cut = _bucketed(frame, key, _bucket_count(frame, buckets))
+    cut = _bucketed(frame, key, _splits(frame, key, buckets))
     return _indexed(cut, key, name, _starts(cut, [F.lit(1)])[0]).drop(_KEY, _BUCKET)
 
 
@@ -78,7 +82,7 @@ def _indexed(cut: DataFrame, key: str, name: str, start: np.ndarray) -> DataFram
 def rows_at(frame: DataFrame, positions: Sequence[int], key: str = "id", name: str = "idx",
             buckets: int | None = None) -> DataFrame:
     """The rows at the given positions; only buckets that hold one are ordered."""
-    cut = _bucketed(frame, key, _bucket_count(frame, buckets))
+    cut = _bucketed(frame, key, _splits(frame, key, buckets))
     start = _starts(cut, [F.lit(1)])[0]
     touched = np.unique(np.searchsorted(start, np.asarray(positions), side="right") - 1)
     wanted = cut.where(F.col(_BUCKET).isin([int(b) for b in touched]))

@@ -34,7 +34,8 @@ log = logging.getLogger(__name__)
 SEED = 42
 # Below this fraction the batches of many iterations are extracted in one scan
 # instead of scanning the whole table in each.
-EXTRACT_BELOW = 0.25
+EXTRACT_BELOW = 0.15
+MOST_PER_TASK = 16
 
 
 @dataclass(frozen=True)
@@ -64,10 +65,10 @@ def fold_tasks(partitions: int, share: float, slots: int) -> int:
 
     One task folds several cached partitions, which saves task starts and
     partial vectors; long scans get a few tasks per slot, so that a slow one
-    can be evened out.
+    can be evened out. No task reads more than ``MOST_PER_TASK`` partitions.
     """
     waves = max(1, min(3, int(partitions * share) // (8 * slots)))
-    return min(partitions, slots * waves)
+    return min(partitions, max(slots * waves, -(-partitions // MOST_PER_TASK)))
 
 
 class _Batches:

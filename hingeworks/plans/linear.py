@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
+from hingeworks.functions.kernels import Kernel
 from hingeworks.models import LinearModel, TrainingResult
 from hingeworks.operators.blocks import BlockTable, pack_and_check
 from hingeworks.operators.feature_maps import NystromMap, RandomFourierMap
@@ -19,8 +20,8 @@ from hingeworks.operators.updates import (
     pegasos_update,
     sqrt_update,
 )
+from hingeworks.operators.validate import require
 from hingeworks.plans.descent import SEED, Descent, Setting, descend
-from hingeworks.functions.kernels import Kernel
 
 
 def split_weights(weights: np.ndarray, bias: bool) -> tuple[np.ndarray, float]:
@@ -61,15 +62,19 @@ def train_linear_pegasos(points: DataFrame, *, iterations: int = 100, reg: float
 def train_with_rule(points: DataFrame, updater: Updater, *, iterations: int = 100,
                     step: float = 1.0, reg: float = 0.01, fraction: float = 1.0,
                     initial_weights: Sequence[float] | None = None, intercept: bool = False,
-                    validate: bool = True, scale: bool = False, gradient: RowGradient = hinge,
+                    validate: bool = True, validators: Sequence[Column] = (),
+                    scale: bool = False, gradient: RowGradient = hinge,
                     seed: int = SEED,
                     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> TrainingResult:
     """Mini-batch descent with any update rule and row gradient.
 
-    With ``intercept`` the bias starts at 1.0 and is regularised. ``scale``
-    trains on features divided by their standard deviation and maps the
-    weights back.
+    With ``intercept`` the bias starts at 1.0 and is regularised. ``validate``
+    checks that labels are 0 or 1 and that each aggregate in ``validators`` is
+    0. ``scale`` trains on features divided by their standard deviation and
+    maps the weights back.
     """
+    if validate:
+        require(points, validators)
     blocks = pack_and_check(points, storage=storage)
     try:
         if validate and blocks.bad_labels:

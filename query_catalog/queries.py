@@ -88,7 +88,7 @@ def read_labeled_text(spark, folder):
 
 @query
 def support_write(spark, folder):
-    path = fresh_path(spark, "vectors")
+    path = fresh_path(spark, "support")
     labeled_text.write_support(support_table(spark, folder), path)
     read = labeled_text.read_labeled_text(spark, path)
     return cells(read.withColumnRenamed("label", "y"), "y")
@@ -96,7 +96,7 @@ def support_write(spark, folder):
 
 @query
 def surface_write(spark, folder):
-    path = fresh_path(spark, "scores")
+    path = fresh_path(spark, "surface")
     labeled_text.write_surface(surface_2d(spark, folder), path)
     return spark.read.text(path)
 
@@ -152,7 +152,7 @@ def sweep_read(spark, folder):
         for name, column in (("embeddings", "label"), ("labels", "quality"),
                              ("lineitem", "l_linenumber"))
     ]
-    path = fresh_path(spark, "grid_pegasos.csv")
+    path = fresh_path(spark, "sweep")
     traces.write_sweep(counts[0].union(counts[1]).union(counts[2]), path)
     return traces.read_sweep(spark, path)
 

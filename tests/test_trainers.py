@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hingeworks.functions.kernels import kernel_named
 from hingeworks.functions.keyed import uniform_array
@@ -99,7 +100,7 @@ def test_blocks_smaller_than_a_batch_and_single_precision(monkeypatch, make_poin
     monkeypatch.setattr(block_ops, "EXTRACT_BYTES", 500)
     exact = cells.astype(np.float32).astype(float)
     for data in (exact, cells):
-        for fraction in (1.0, 0.2):
+        for fraction in (1.0, 0.1):
             points = make_points(zip(ids, labels, data), 3)
             result = linear.train_pegasos(points, iterations=7, reg=REG, fraction=fraction)
             same(result, loop((ids, labels, data), pegasos(1.0), 7, start=np.zeros(5),
@@ -140,6 +141,14 @@ def test_label_validation_is_only_in_the_validated_trainers(make_points):
     linear.train_linear_pegasos(points, iterations=1)
 
 
+def test_own_validators(make_points):
+    points = make_points([(1, 1.0, [-1.0]), (2, 0.0, [2.0])])
+    negative = F.count_if(F.col("features")[0] < 0)
+    with pytest.raises(ValueError, match="validation failed"):
+        linear.train_pegasos(points, iterations=1, validators=[negative])
+    linear.train_pegasos(points, iterations=1, validators=[negative], validate=False)
+
+
 def test_rows_of_another_width_are_refused(make_points):
     points = make_points([(1, 1.0, [1.0, 2.0]), (2, 0.0, [2.0]), (3, 0.0, [2.0, 1.0])])
     with pytest.raises(ValueError, match="between 1 and 2 features"):
@@ -217,7 +226,7 @@ def test_sweep_matches_single_trainings(blob_points):
 
 def test_sweep_of_small_fractions_and_shares(blob_points, blob):
     ids, labels, cells = blob
-    small = sweep.batch_settings(1.0, (0.2, 0.1))
+    small = sweep.batch_settings(1.0, (0.12, 0.1))
     rows = sweep.sweep(blob_points, "svm", "batch", small, iterations=5, reg=REG).collect()
     for fraction, _ in small:
         single = linear.train_svm_sgd(blob_points, iterations=5, reg=REG, fraction=fraction)
@@ -242,8 +251,9 @@ def test_timed_sweep(blob_points):
 def test_fold_tasks():
     assert descent.fold_tasks(3, 1.0, 8) == 3
     assert descent.fold_tasks(32, 1.0, 8) == 8
-    assert descent.fold_tasks(100_000, 1.0, 1000) == 3000
-    assert descent.fold_tasks(100_000, 0.01, 1000) == 1000
+    assert descent.fold_tasks(30_000, 1.0, 1000) == 3000
+    assert descent.fold_tasks(100_000, 0.01, 1000) == 6250
+    assert descent.fold_tasks(100_000, 0.01, 8000) == 8000
 
 
 def test_own_gradient_and_update_rule(blob_points, blob):
