@@ -22,10 +22,9 @@ from hingeworks.operators.blocks import (
     point_rows,
     sum_by_position,
 )
+from hingeworks.operators.ordering import short_table
 
 ANCHOR_BYTES = 128 * 1024 * 1024
-# A table of at most this many short rows is offered for broadcasting.
-BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -122,14 +121,16 @@ def kernel_scores(weighted: DataFrame, targets: DataFrame, kernel: str | Kernel)
 
 
 def support_vectors(points: DataFrame, alphas: DataFrame, biased: bool = False,
-                    small: bool = False) -> DataFrame:
+                    most_rows: int | None = None) -> DataFrame:
     """``(id, y, features, alpha)`` of the rows with ``alpha > 0``.
 
-    ``small`` says that the ``(id, alpha)`` table is known to be short.
+    ``most_rows`` bounds the ``(id, alpha)`` table, where a bound is known.
     """
     used = alphas.where(F.col("alpha") > 0).select("id", "alpha")
     rows = point_rows(points)
     features = append_bias(F.col("features")) if biased else F.col("features")
-    return rows.join(F.broadcast(used) if small else used, "id").select(
+    if most_rows is not None:
+        used = short_table(used, most_rows)
+    return rows.join(used, "id").select(
         "id", signed_label(F.col("label")).alias("y"), features.alias("features"), "alpha"
     )

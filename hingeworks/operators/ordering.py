@@ -15,11 +15,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hingeworks.functions.vectors import literal_vector
 
+# A table of at most this many short rows is offered for broadcasting.
+BROADCAST_ROWS = 100_000
+
+# Several buckets per shuffle partition even out their hashing.
+BUCKETS_PER_PARTITION = 4
+
 _KEY, _BUCKET = "__order_key", "__order_bucket"
 
 
 def _splits(frame: DataFrame, key: str, buckets: int | None) -> list[float]:
-    buckets = buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = BUCKETS_PER_PARTITION * partitions
     shares = [i / buckets for i in range(1, buckets)]
     cuts = frame.select(
         F.percentile_approx(F.col(key).cast("double"), shares or [0.5], max(10000, 20 * buckets))
@@ -86,8 +94,11 @@ def rows_at(frame: DataFrame, positions: Sequence[int], key: str = "id", name: s
     start = _starts(cut, [F.lit(1)])[0]
     touched = np.unique(np.searchsorted(start, np.asarray(positions), side="right") - 1)
     wanted = cut.where(F.col(_BUCKET).isin([int(b) for b in touched]))
-    return (
-        _indexed(wanted, key, name, start)
-        .where(F.col(name).isin([int(p) for p in positions]))
-        .drop(_KEY, _BUCKET)
-    )
+    indexed = _indexed(wanted, key, name, start).drop(_KEY, _BUCKET)
+    places = frame.sparkSession.createDataFrame([(int(p),) for p in positions], f"{name} long")
+    return indexed.join(short_table(places, len(positions)), name, "left_semi")
+
+
+def short_table(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame`` of a known number of short rows, to be broadcast if that is small."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame

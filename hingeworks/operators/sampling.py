@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hingeworks.functions.keyed import uniform
-from hingeworks.operators.ordering import rows_at
+from hingeworks.functions.keyed import uniform, uniform_array
+from hingeworks.operators.ordering import rows_at, short_table
 
 SEED = 42
 
@@ -38,8 +38,6 @@ def random_split(points: DataFrame, weights: Sequence[float] = (0.6, 0.4),
 
 def draw_positions(rows: int, iterations: int, seed: int = SEED) -> list[int]:
     """The row position, from 0, drawn in each iteration, from 1."""
-    from hingeworks.functions.keyed import uniform_array
-
     return [int(uniform_array([i], seed + i)[0] * rows) for i in range(1, iterations + 1)]
 
 
@@ -53,4 +51,4 @@ def draws(points: DataFrame, iterations: int, seed: int = SEED) -> DataFrame:
     # One short row per iteration.
     table = spark.createDataFrame(list(enumerate(chosen, 1)), "iter int, idx long")
     found = rows_at(points.select("id"), sorted(set(chosen)))
-    return table.join(found, "idx").select("iter", "idx", "id")
+    return found.join(short_table(table, iterations), "idx").select("iter", "idx", "id")

@@ -15,13 +15,13 @@ from hingeworks.functions.kernels import Kernel, kernel_named
 from hingeworks.functions.vectors import append_bias
 from hingeworks.models import KernelModel
 from hingeworks.operators.kernel_ops import (
-    BROADCAST_ROWS,
     Anchors,
     anchor_limit,
     collect_anchors,
     kernel_rows,
     support_vectors,
 )
+from hingeworks.operators.ordering import short_table
 from hingeworks.operators.sampling import SEED, draws
 from hingeworks.operators.updates import require_reg
 from hingeworks.sources.scratch import use_checkpoints
@@ -38,7 +38,7 @@ def _kernel_among(drawn: DataFrame, wanted: list[int], anchors: list[Anchors],
                   kernel: Kernel) -> dict[int, np.ndarray]:
     """Kernel values of the wanted ids against all anchors, row by row."""
     names = drawn.sparkSession.createDataFrame([(i,) for i in wanted], "id long")
-    chosen = drawn.join(F.broadcast(names) if len(wanted) <= BROADCAST_ROWS else names, "id")
+    chosen = drawn.join(short_table(names, len(wanted)), "id")
     found: dict[int, list[np.ndarray]] = {i: [] for i in wanted}
     for part in anchors:
         table = kernel_rows(chosen, part, kernel).toArrow().combine_chunks()
@@ -60,7 +60,7 @@ def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
     names = spark.createDataFrame([(i,) for i in distinct], "id long")
     features = append_bias(F.col("features")) if biased else F.col("features")
     drawn = (
-        points.join(F.broadcast(names) if len(distinct) <= BROADCAST_ROWS else names, "id")
+        points.join(short_table(names, len(distinct)), "id")
         .select("id", "label", features.cast("array<double>").alias("features"))
         .repartition(spark.sparkContext.defaultParallelism, "id")
         .persist()
@@ -98,7 +98,7 @@ def train_kernel_pegasos(points: DataFrame, *, iterations: int = 100, reg: float
     table = spark.createDataFrame(
         [(i, float(a)) for i, a in alphas.items()], "id long, alpha double"
     )
-    support = support_vectors(points, table, biased, small=len(alphas) <= BROADCAST_ROWS)
+    support = support_vectors(points, table, biased, len(alphas))
     # At most one row per iteration; later uses need not scan the points again.
     use_checkpoints(spark)
     support = support.checkpoint()

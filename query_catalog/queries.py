@@ -284,7 +284,8 @@ def drawn_alphas(spark, folder):
 
 
 def support_table(spark, folder):
-    return support_vectors(embedding_points(spark, folder), drawn_alphas(spark, folder), small=True)
+    return support_vectors(embedding_points(spark, folder), drawn_alphas(spark, folder),
+                           most_rows=ALPHA_DRAWS)
 
 
 @query
