@@ -39,7 +39,7 @@ def session(cpus: str | None = None) -> SparkSession:
 def wide_trainings(spark: SparkSession, timed) -> None:
     from hingeworks.operators.blocks import pack_and_check
     from hingeworks.operators.ordering import row_index
-    from hingeworks.operators.updates import pegasos_update, sqrt_update
+    from hingeworks.operators.updates import pegasos_update
     from hingeworks.plans.descent import Descent, Setting, descend
     from hingeworks.sources.generators import gaussian_classes
     from query_catalog.inputs import order_ids
@@ -50,14 +50,10 @@ def wide_trainings(spark: SparkSession, timed) -> None:
     timed("wide_pack", lambda: packed.append(pack_and_check(points)))
     blocks = packed[0]
     start = np.zeros(WIDE_FEATURES)
-    for name, rule, step, fraction in (
-        ("wide_pegasos_batch_1.0", pegasos_update, 3.0, 1.0),
-        ("wide_pegasos_batch_0.1", pegasos_update, 3.0, 0.1),
-        ("wide_pegasos_batch_0.01", pegasos_update, 3.0, 0.01),
-        ("wide_svm_batch_0.01", sqrt_update, 60.0, 0.01),
-    ):
-        descent = Descent(WIDE_ITERATIONS, 0.01, rule)
-        timed(name, lambda: descend(blocks, start, descent, [Setting(step, fraction)]))
+    descent = Descent(WIDE_ITERATIONS, 0.01, pegasos_update)
+    for fraction in (1.0, 0.1, 0.01):
+        timed(f"wide_pegasos_batch_{fraction}",
+              lambda: descend(blocks, start, descent, [Setting(3.0, fraction)]))
     blocks.release()
 
 
