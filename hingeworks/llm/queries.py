@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hingeworks.llm import chunk_bpe, packing, rollups, token_files
+from hingeworks.llm import chunk_bpe, packing, quality, rollups, secrets, token_files
 from hingeworks.llm.tables import fresh_path, table, written
 
 QUERIES = {}
@@ -68,3 +68,27 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select(
         "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"),
         token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", secrets.find_secrets(F.col("text")).alias("found"))
+    base = F.filter("found", lambda s: s["kind"] != "entropy")
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("found")).alias("spans"), count("entropy"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rules = quality.learn(docs, table(spark, folder, "labels"))
+    judged = quality.with_verdict(docs.select("doc_id", "text"), rules, "judged")
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *(F.col(f"judged.{name}") for name in shown))
