@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hingeworks.llm import chunk_bpe, packing, quality, rollups, secrets, token_files
+from hingeworks.llm import chunk_bpe, near_dup, packing, quality, rollups, secrets, token_files
 from hingeworks.llm.tables import fresh_path, table, written
 
 QUERIES = {}
@@ -92,3 +92,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.with_verdict(docs.select("doc_id", "text"), rules, "judged")
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *(F.col(f"judged.{name}") for name in shown))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
