@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.llm.encoder import SPECIAL, byte_strings, encoder
@@ -30,7 +31,7 @@ from hingeworks.llm.token_files import texts_of
 
 WINDOW = 24
 CUT_BITS = 10  # one cut in about a thousand characters
-HELD_CHARS = 24 << 20  # chunk texts kept for reuse in one task
+HELD_CHARS = 4 << 20  # chunk texts kept for reuse in one task
 LEAST_CHARS = 256  # between two cuts
 LEAST_TAIL = 64
 CONTEXT = 2  # pieces of agreement on each side of a repaired join
@@ -83,7 +84,8 @@ class ChunkEncoder:
         lists = [chunk_list(t) if t else [] for t in texts]
         new = list(dict.fromkeys(c for own in lists for c in own if c not in self.held))
         got = self.tool.encode(new, with_pieces=True)
-        fresh = {c: Chunk(c, got.of(i), *got.pieces[i]) for i, c in enumerate(new)}
+        fresh = {c: Chunk(c, got.of(i).copy(), *(x.astype(np.int32) for x in got.pieces[i]))
+                 for i, c in enumerate(new)}
         self.encoded += len(new)
         self.reused += sum(map(len, lists)) - len(new)
         found = [[fresh.get(c) or self.held[c] for c in own] for own in lists]
@@ -220,7 +222,8 @@ def encode(docs: DataFrame, path: str, byte_level: bool = True) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     binned = rows.withColumn("bin", F.arrow_udf(_bin, "long")(F.col("text")))
-    return binned.hint("rebalance", "bin").select("doc_id", "text").mapInArrow(
+    dealt = binned.hint("rebalance", "bin").sortWithinPartitions("bin")
+    return dealt.select("doc_id", "text").mapInArrow(
         _encode_rows(path, byte_level), ENCODED)
 
 
@@ -228,11 +231,18 @@ def decoder(path: str):
     """A Column function: ids of a byte-level file to text, bad bytes replaced."""
 
     def run(ids: pa.Array) -> pa.Array:
-        strings = byte_strings(path)
-        return pa.array([
-            None if own is None else b"".join([strings[i] for i in own]).decode("utf-8", "replace")
-            for own in ids.to_pylist()
-        ], pa.string())
+        data, offsets = byte_strings(path)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        lengths = (offsets[1:] - offsets[:-1])[flat]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ends = before[np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))]
+        found, start = [], 0
+        for valid, end in zip(ids.is_valid().to_pylist(), ends.tolist()):
+            own = slice(*np.searchsorted(before, (start, end)))
+            places = np.repeat(offsets[flat[own]] - before[own], lengths[own]) + np.arange(start, end)
+            found.append(data[places].tobytes().decode("utf-8", "replace") if valid else None)
+            start = end
+        return pa.array(found, pa.string())
 
     return F.arrow_udf(run, "string")
 

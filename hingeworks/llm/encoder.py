@@ -19,8 +19,8 @@ import numpy as np
 
 from hingeworks.llm.text import span_hashes, worker_state
 
-SLOTS = 1 << 22
-MOST_PIECES = 1 << 21
+SLOTS = 1 << 21
+MOST_PIECES = 1 << 20
 _SENTINEL = "\U0010ffff"
 _EDGE, _SPACE, _LETTER, _DIGIT, _OTHER, _ODD, _WHOLE = range(7)
 
@@ -132,6 +132,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.byte_level = byte_level
+        self.alphabet = {b: c for c, b in byte_letters().items()}
         self.kinds, self.lower = worker_state("code_points", _tables)
         self.table = PieceTable()
 
@@ -139,6 +140,15 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in found]
 
+    def _piece_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces that are one pre-token each: straight from the library's model."""
+        model = self.library.model
+        if self.byte_level:
+            pieces = [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
+        else:
+            pieces = [p.lower() for p in pieces]
+        return [[token.id for token in model.tokenize(p)] for p in pieces]
+
     def _piece_starts(self, codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         solid = kinds >= _LETTER
         after = np.zeros_like(solid)
@@ -189,7 +199,8 @@ class Encoder:
         kept = kinds[starts] >= (_SPACE if self.byte_level else _LETTER)
         starts, ends = starts[kept], ends[kept]
         symbols = codes if self.byte_level else self.lower[codes]
-        runs = self._runs(span_hashes(symbols, starts, ends), starts, ends, joined)
+        odd = np.concatenate([[0], np.cumsum(kinds == _ODD)])
+        runs = self._runs(span_hashes(symbols, starts, ends), starts, ends, joined, odd)
         lengths = runs & 0xFFFF
         before = np.concatenate([[0], np.cumsum(lengths)])
         places = np.repeat((runs >> 16) - before[:-1], lengths) + np.arange(before[-1])
@@ -207,7 +218,7 @@ class Encoder:
             ids, offsets = self._with_whole(texts, sorted(whole), ids, offsets)
         return Encoded(ids, offsets, pieces)
 
-    def _runs(self, hashes, starts, ends, joined) -> np.ndarray:
+    def _runs(self, hashes, starts, ends, joined, odd) -> np.ndarray:
         runs = self.table.find(hashes)
         missing = np.flatnonzero(runs < 0)
         if len(missing):
@@ -219,8 +230,10 @@ class Encoder:
             if len(new) > MOST_PIECES:
                 raise ValueError("encode fewer texts at a time")
             at = missing[first]
-            found = self._library_ids([joined[a:b] for a, b in zip(starts[at], ends[at])])
-            self.table.add(new, found)
+            plain = odd[ends[at]] == odd[starts[at]]
+            for few, make in ((plain, self._piece_ids), (~plain, self._library_ids)):
+                own = at[few]
+                self.table.add(new[few], make([joined[a:b] for a, b in zip(starts[own], ends[own])]))
             runs[missing] = self.table.find(hashes[missing])
         return runs
 
@@ -239,19 +252,25 @@ def encoder(path: str, byte_level: bool) -> Encoder:
     return worker_state(f"encoder {path}", lambda: Encoder(path, byte_level))
 
 
-def byte_strings(path: str) -> list[bytes]:
-    """The bytes of every id of a byte-level file."""
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for the 256 bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
+
+
+def byte_strings(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(bytes of all ids one after another, their offsets)`` of a byte-level file."""
 
     def make():
         from tokenizers import Tokenizer
 
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain}
-        letters |= {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        letters = byte_letters()
         tokens = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
         made = [b""] * (max(tokens.values()) + 1)
         for token, place in tokens.items():
             made[place] = bytes(letters[c] for c in token)
-        return made
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])])
+        return np.frombuffer(b"".join(made), np.uint8), offsets
 
     return worker_state(f"bytes {path}", make)

@@ -263,12 +263,15 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         ["id", "shingles"])
     links = pairs.join(full.select("id", "sketch", "shingles"), "id").groupBy("cell").applyInArrow(
         _links, "a long, b long")
-    same = linked.select("low", "high", "n_shingles", "doc_id").join(
-        classes.select("low", "high", "n_shingles", "id"), ["low", "high", "n_shingles"])
-    copies = same.where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(copies))
-    result = signed.select("doc_id", "n_shingles").join(
-        found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component"))
-    return result.select("doc_id", "n_shingles", F.coalesce(component, F.col("doc_id")).alias("component_id")
-                         ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    keys = ["low", "high", "n_shingles"]
+    same = linked.select(*keys, "doc_id").join(classes.select(*keys, "id"), keys)
+    # Classes of an id that comes with several texts are linked by it.
+    several = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z")
+    by_id = same.join(several, "doc_id").select("a", F.col("id").alias("b"))
+    found = components(links.union(by_id)).select("id", F.col("component").alias("component_id"))
+    placed = same.join(found, "id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.union(alone).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
