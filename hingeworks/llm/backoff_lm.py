@@ -33,7 +33,7 @@ from hingeworks.llm.ngram_blocks import BLOCK_BYTES, Block, answers, requests, t
 from hingeworks.llm.tables import written
 from hingeworks.llm.text import Segment, cuts, id_remainder, mix, words
 
-STRENGTH = 30.0
+STRENGTH = 100.0
 END = np.uint64(0x5851F42D4C957F2D)
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
