@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hingeworks.llm import backoff_lm, chunk_bpe, near_dup, packing, quality, rollups, secrets, token_files
+from hingeworks.llm import backoff_lm, chunk_bpe, imatch, near_dup, packing, quality, rollups, secrets, token_files
 from hingeworks.llm.tables import fresh_path, table, written
 
 QUERIES = {}
@@ -102,3 +102,9 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return imatch.compare_with_edits(docs, imatch.lexicon(docs))
