@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from hingeworks.llm.hash_table import HashTable
 from hingeworks.llm.text import span_hashes, worker_state
 
 SLOTS = 1 << 21
@@ -70,32 +71,16 @@ class Encoded:
         return self.ids[self.offsets[text]: self.offsets[text + 1]]
 
 
-class PieceTable:
-    """Open-addressed numpy table from piece hash to a run of ids."""
+class PieceTable(HashTable):
+    """From piece hash to a run of ids: ``place << 16 | length`` in the pool."""
 
     def __init__(self):
-        self.clear()
+        super().__init__(SLOTS)
 
     def clear(self):
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.runs = np.zeros(SLOTS, np.int64)  # place << 16 | length
+        super().clear()
         self.pool = np.zeros(1 << 20, np.uint32)
-        self.held = self.used = 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The run of each hash, -1 where it is not held."""
-        mask = np.uint64(SLOTS - 1)
-        slots = hashes & mask
-        keys = self.keys[slots]
-        runs = np.where(keys == hashes, self.runs[slots], -1)
-        rest = np.flatnonzero((keys != hashes) & (keys != 0))
-        while len(rest):
-            slots[rest] = (slots[rest] + np.uint64(1)) & mask
-            keys = self.keys[slots[rest]]
-            hit = keys == hashes[rest]
-            runs[rest[hit]] = self.runs[slots[rest[hit]]]
-            rest = rest[~hit & (keys != 0)]
-        return runs
+        self.used = 0
 
     def add(self, hashes: np.ndarray, ids: list[list[int]]):
         """Keep new distinct hashes."""
@@ -105,20 +90,8 @@ class PieceTable:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         flat = np.fromiter((i for run in ids for i in run), np.uint32, total)
         self.pool[self.used: self.used + total] = flat
-        runs = (self.used + np.cumsum(lengths) - lengths) << 16 | lengths
+        self.put(hashes, (self.used + np.cumsum(lengths) - lengths) << 16 | lengths)
         self.used += total
-        self.held += len(hashes)
-        mask = np.uint64(SLOTS - 1)
-        slots = hashes & mask
-        rest = np.arange(len(hashes))
-        while len(rest):
-            free = rest[self.keys[slots[rest]] == 0]
-            _, first = np.unique(slots[free], return_index=True)
-            placed = free[first]
-            self.keys[slots[placed]] = hashes[placed]
-            self.runs[slots[placed]] = runs[placed]
-            rest = rest[self.keys[slots[rest]] != hashes[rest]]
-            slots[rest] = (slots[rest] + np.uint64(1)) & mask
 
 
 class Encoder:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hingeworks.llm import backoff_lm, chunk_bpe, imatch, near_dup, packing, quality, rollups, secrets, token_files
+from hingeworks.llm import backoff_lm, chunk_bpe, imatch, near_dup, packing, quality, rollups, secrets, token_files, toxicity
+from hingeworks.llm.text import id_remainder
 from hingeworks.llm.tables import fresh_path, table, written
 
 QUERIES = {}
@@ -108,3 +109,12 @@ def op4_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
 def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return imatch.compare_with_edits(docs, imatch.lexicon(docs))
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", toxicity.toxicity(model, F.col("text")).alias("score"))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
