@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from hingeworks.llm.encoder import SPECIAL, byte_strings, encoder
 from hingeworks.llm.text import mix, powers, worker_state
@@ -247,7 +248,7 @@ def decoder(path: str):
     return F.arrow_udf(run, "string")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def ids_sha256(ids: pa.Array) -> pa.Array:
     """Lower-case hex of the ids as little-endian unsigned 32-bit integers."""
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")

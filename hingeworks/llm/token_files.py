@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
 from hingeworks.llm.encoder import encoder
 from hingeworks.llm.text import cuts, utf8
@@ -92,7 +93,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "start", F.col("base") + F.col("local_start")).drop("base")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
