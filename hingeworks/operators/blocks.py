@@ -9,6 +9,7 @@ vectors are added up by position, so no task ever receives all of them.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -16,29 +17,33 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from hingeworks.functions.keyed import key_hash, uniform_from_hash
 
+log = logging.getLogger(__name__)
+
 # Measured: blocks and transfers that stay inside the core's cache are about
 # twice as fast as multi-megabyte ones.
 BLOCK_BYTES = 128 * 1024
 TRANSFER_BYTES = 1024 * 1024
-# A table is spread anew when its fullest partition has more than this many
-# blocks and more than this many times the mean.
+# A table in fewer partitions than there are slots is spread anew when its fullest
+# partition has more than this many blocks.
 FULL_BLOCKS = 32
-UNEVEN = 2
-# Partial vectors from up to this many tasks are added on the driver; more are
-# first added by position across the cluster.
-DIRECT_PARTIALS = 64
+# Partial vectors of up to this many bytes together are added on the driver; more
+# are first added on the cluster, in chunks of so many elements.
+DIRECT_BYTES = 32 * 1024 * 1024
+CHUNK = 4096
 # An extraction task holds at most about this much before it emits blocks.
 EXTRACT_BYTES = 8 * 1024 * 1024
+# Random numbers (rows times iterations) that it draws at a time.
+DRAW_CELLS = 1 << 20
 
 BLOCK_COLUMNS = ("rows", "width", "ids", "labels", "cells")
 _COLUMN_TYPES = "rows int, width int, ids binary, labels binary, cells binary"
 BLOCK_SCHEMA = f"bad_labels int, {_COLUMN_TYPES}"
 BATCH_SCHEMA = f"iter int, {_COLUMN_TYPES}"
-PARTIAL_SCHEMA = "state array<double>"
+PARTIAL_SCHEMA = "chunk int, state array<double>"
 
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -185,17 +190,14 @@ def pack_and_check(points: DataFrame,
                    feature_map: Callable[[np.ndarray], np.ndarray] | None = None,
                    storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> BlockTable:
     """Pack, cache and validate in a single pass over the source."""
+    _advise_cached(points)
     frame = pack(points, feature_map).persist(storage)
-    parts = _partition_counts(frame)
-    seen = parts.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
-        F.coalesce(F.max("part") + 1, F.lit(0)).alias("partitions"),
-        F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"),
-        F.coalesce(F.max("blocks"), F.lit(0)).alias("most"),
-    ).first()
+    try:
+        seen = _seen(_partition_counts(frame))
+    except Exception:
+        frame.unpersist()
+        raise
+
     if seen["low"] != seen["high"]:
         frame.unpersist()
         raise ValueError(f"points have between {seen['low']} and {seen['high']} features")
@@ -203,7 +205,7 @@ def pack_and_check(points: DataFrame,
     # Input that could not be split (one large compressed file, say) is spread once.
     slots = frame.sparkSession.sparkContext.defaultParallelism
     wanted = max(partitions, min(slots, seen["blocks"]))
-    if seen["most"] > max(FULL_BLOCKS, UNEVEN * seen["blocks"] / max(1, wanted)):
+    if partitions < wanted and seen["most"] > FULL_BLOCKS:
         even = frame.repartition(wanted).persist(storage)
         even.count()
         frame.unpersist()
@@ -211,6 +213,25 @@ def pack_and_check(points: DataFrame,
     return BlockTable(frame, seen["rows"], seen["low"], seen["bad"], partitions)
 
 
+def _seen(parts: DataFrame) -> Row:
+    return parts.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+        F.coalesce(F.max("part") + 1, F.lit(0)).alias("partitions"),
+        F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"),
+        F.coalesce(F.max("blocks"), F.lit(0)).alias("most"),
+    ).first()
+
+
+def _advise_cached(points: DataFrame) -> None:
+    """Scaling and validators read the source again, so say where it is not cached."""
+    level = points.storageLevel
+    if not (level.useMemory or level.useDisk):
+        log.warning("the input is not cached; validators and scaling scan it again")
+
+
 def _partition_counts(frame: DataFrame) -> DataFrame:
     parts = frame.select("rows", "width", "bad_labels", F.spark_partition_id().alias("part"))
     return parts.groupBy("part").agg(
@@ -244,14 +265,17 @@ def extract_batches(blocks: DataFrame, iterations: range, fraction: float, seed:
     def task(batches):
         held, size = [], 0
         for ids, labels, cells in packed_batches(batches):
-            drawn = uniform_from_hash(key_hash(ids)[:, None], seed + numbers) < fraction
-            row, which = np.nonzero(drawn)
-            if len(row):
-                held.append((numbers[which], ids[row], labels[row], cells[row]))
-                size += held[-1][-1].nbytes
-            if size >= EXTRACT_BYTES:
-                yield emit(held)
-                held, size = [], 0
+            hashed = key_hash(ids)[:, None]
+            tile = max(1, DRAW_CELLS // max(1, len(ids)))
+            for first in range(0, len(numbers), tile):
+                some = numbers[first: first + tile]
+                row, which = np.nonzero(uniform_from_hash(hashed, seed + some) < fraction)
+                if len(row):
+                    held.append((some[which], ids[row], labels[row], cells[row]))
+                    size += held[-1][-1].nbytes
+                if size >= EXTRACT_BYTES:
+                    yield emit(held)
+                    held, size = [], 0
         if held:
             yield emit(held)
 
@@ -261,39 +285,54 @@ def extract_batches(blocks: DataFrame, iterations: range, fraction: float, seed:
 
 def partial_sums(frame: DataFrame, fold: Callable[[Iterable[Block]], np.ndarray | None],
                  reader: Callable[[Iterable[pa.RecordBatch]], Iterator[Block]]) -> DataFrame:
-    """One row per non-empty partition: the flat vector ``fold`` makes of its blocks."""
+    """``(chunk, state)``: the flat vector ``fold`` makes of each partition, cut into chunks."""
 
     def task(batches):
         state = fold(reader(batches))
         if state is not None:
-            flat = pa.array(np.asarray(state, dtype=np.float64).ravel())
-            offsets = pa.array([0, len(flat)], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(offsets, flat)], names=["state"]
-            )
+            flat = np.asarray(state, dtype=np.float64).ravel()
+            cuts = np.append(np.arange(0, len(flat), CHUNK), len(flat))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(len(cuts) - 1), pa.int32()),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
+            ], names=["chunk", "state"])
 
     return frame.mapInArrow(task, PARTIAL_SCHEMA)
 
 
+def _add_group(key: tuple[pa.Scalar, ...],
+               batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the vectors of one chunk as they stream by."""
+    total = None
+    for batch in batches:
+        for state in batch.column("state"):
+            own = state.values.to_numpy()
+            total = own.copy() if total is None else total + own
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.float64()))],
+        names=["chunk", "state"])
+
+
+def add_chunks(partials: DataFrame) -> DataFrame:
+    """``(chunk, state)`` with one row per chunk: partial vectors added on the cluster."""
+    return partials.groupBy("chunk").applyInArrow(_add_group, PARTIAL_SCHEMA)
+
+
 def sum_by_position(partials: DataFrame) -> DataFrame:
-    """``(pos, value)``: partial vectors added element by element on the cluster."""
-    return (
-        partials.select(F.posexplode("state").alias("pos", "value"))
-        .groupBy("pos")
-        .agg(F.sum("value").alias("value"))
-    )
+    """``(pos, value)``: partial vectors added on the cluster, chunk by chunk."""
+    return add_chunks(partials).select("chunk", F.posexplode("state").alias("at", "value")).select(
+        (F.col("chunk") * CHUNK + F.col("at")).alias("pos"), "value")
 
 
-def add_up(partials: DataFrame, partitions: int) -> np.ndarray | None:
-    """The total of the partial vectors; only vector-sized data reaches the driver."""
-    if partitions <= DIRECT_PARTIALS:
-        states = partials.toArrow().column("state").combine_chunks()
-        if len(states) == 0:
-            return None
-        return states.flatten().to_numpy().reshape(len(states), -1).sum(axis=0)
-    total = sum_by_position(partials).toArrow()
-    if total.num_rows == 0:
+def add_up(partials: DataFrame, partitions: int, length: int) -> np.ndarray | None:
+    """The total of the partial vectors; the driver receives ``DIRECT_BYTES`` or one vector."""
+    if 8 * partitions * length > DIRECT_BYTES:
+        partials = add_chunks(partials)
+    table = partials.toArrow()
+    if table.num_rows == 0:
         return None
-    state = np.empty(total.num_rows)
-    state[total.column("pos").to_numpy()] = total.column("value").to_numpy()
-    return state
+    total = np.zeros(length)
+    for chunk, state in zip(table.column("chunk").to_pylist(), table.column("state")):
+        own = state.values.to_numpy()
+        total[chunk * CHUNK: chunk * CHUNK + len(own)] += own
+    return total

@@ -6,15 +6,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.functions.kernels import Kernel, kernel_named
 from hingeworks.functions.keyed import normal_array, uniform_array
-from hingeworks.operators.kernel_ops import collect_anchors, kernel_rows, vector_udf
+from hingeworks.operators.kernel_ops import anchor_limit, collect_anchors, kernel_rows, kernel_udf, vector_udf
 from hingeworks.operators.sampling import landmarks as sample_landmarks
+from hingeworks.sources.scratch import written
 
-# The m x m part of a Nyström fit is dense algebra on one matrix.
-MOST_LANDMARKS = 4096
 # Singular values below this share of the largest count as zero.
 SINGULAR_FLOOR = 1e-12
 
@@ -57,7 +56,11 @@ class RandomFourierMap:
 
 @dataclass(frozen=True)
 class NystromMap:
-    """``[K(s_1, x) .. K(s_m, x)] N`` with N the inverse square root of the Gram matrix."""
+    """``[K(s_1, x) .. K(s_m, x)] N`` with N the inverse square root of the Gram matrix.
+
+    The fit is dense algebra on one m x m matrix on the driver, so m is a choice
+    of the caller that does not grow with the table.
+    """
 
     landmarks: np.ndarray
     normalization: np.ndarray
@@ -66,8 +69,6 @@ class NystromMap:
     @classmethod
     def fit(cls, points: DataFrame, landmarks: int = 30, kernel: str | Kernel = "gaussian",
             seed: int = 0) -> NystromMap:
-        if landmarks > MOST_LANDMARKS:
-            raise ValueError(f"at most {MOST_LANDMARKS} landmarks")
         kernel = kernel_named(kernel)
         chosen = collect_anchors(sample_landmarks(points, landmarks, seed), landmarks)
         gram = kernel.block(chosen.cells, chosen.cells)
@@ -84,7 +85,17 @@ class NystromMap:
 
 def gram(points: DataFrame, size: int, kernel: str | Kernel, seed: int = 0) -> DataFrame:
     """``(id, kernel_row)`` of a landmark sample against itself, in ascending anchor id."""
-    if size > MOST_LANDMARKS:
-        raise ValueError(f"at most {MOST_LANDMARKS} landmarks")
     chosen = sample_landmarks(points, size, seed)
-    return kernel_rows(chosen, collect_anchors(chosen, size), kernel_named(kernel))
+    limit = anchor_limit(feature_width(points) + 2)
+    if size <= limit:
+        return kernel_rows(chosen, collect_anchors(chosen, size), kernel_named(kernel))
+    # Too many for one task: ranges of ids in turn, each adding its part of the rows.
+    chosen = written(chosen, "landmarks")
+    bounds = [row["id"] for row in chosen.select("id").orderBy("id").collect()][::limit]
+    rows = chosen.select("id", "label", "features", F.array().cast("array<double>").alias("kernel_row"))
+    for low, high in zip(bounds, [*bounds[1:], None]):
+        own = chosen.where(F.col("id") >= low)
+        own = own if high is None else own.where(F.col("id") < high)
+        more = kernel_udf(collect_anchors(own, limit), kernel_named(kernel))(F.col("features"))
+        rows = written(rows.withColumn("kernel_row", F.concat("kernel_row", more)), "gram")
+    return rows.select("id", "kernel_row")

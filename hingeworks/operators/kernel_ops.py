@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from hingeworks.operators.blocks import (
     sum_by_position,
 )
 from hingeworks.operators.ordering import short_table
+from hingeworks.sources.scratch import written
 
 ANCHOR_BYTES = 128 * 1024 * 1024
 
@@ -94,15 +96,38 @@ def score_udf(block: Callable[[np.ndarray], np.ndarray]):
 
 def kernel_rows(points: DataFrame, anchors: Anchors, kernel: str | Kernel) -> DataFrame:
     """``(id, kernel_row)``: each row's kernel values, in ascending anchor id."""
-    block, cells = kernel_named(kernel).block, anchors.cells
-    rows = vector_udf(lambda x: block(x, cells))(F.col("features"))
+    rows = kernel_udf(anchors, kernel_named(kernel))(F.col("features"))
     return point_rows(points).select("id", rows.alias("kernel_row"))
 
 
+def kernel_udf(anchors: Anchors, kernel: Kernel):
+    """``ARRAY<DOUBLE>`` to the kernel values against the anchors."""
+    block, cells = kernel.block, anchors.cells
+    return vector_udf(lambda x: block(x, cells))
+
+
 def kernel_scores(weighted: DataFrame, targets: DataFrame, kernel: str | Kernel) -> DataFrame:
     """``(id, score)`` per target: the sum of ``y * alpha * K(x, target)`` over
-    all rows of ``weighted (id, y, features, alpha)`` except the target itself."""
-    block, anchors = kernel_named(kernel).block, collect_anchors(targets)
+    all rows of ``weighted (id, y, features, alpha)`` except the target itself.
+
+    Rows of weight 0 are left out before the kernel is evaluated. More targets
+    than ``ANCHOR_BYTES`` hold are scored part by part, one scan each.
+    """
+    kernel = kernel_named(kernel)
+    weighted = weighted.where(F.col("alpha") != 0)
+    size = point_rows(targets).agg(F.sum(F.size("features") + 2)).first()[0] or 0
+    parts = -(-size * 8 // (ANCHOR_BYTES // 2)) or 1
+    if parts == 1:
+        return _scores_of(weighted, collect_anchors(targets), kernel)
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    return reduce(DataFrame.union, [
+        written(_scores_of(weighted, collect_anchors(targets.where(part == p)), kernel), "scores")
+        for p in range(parts)
+    ])
+
+
+def _scores_of(weighted: DataFrame, anchors: Anchors, kernel: Kernel) -> DataFrame:
+    block = kernel.block
 
     def fold(blocks):
         total = None

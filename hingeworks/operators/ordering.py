@@ -7,7 +7,7 @@ the cuts fall changes only the balance, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -53,6 +53,14 @@ def _starts(frame: DataFrame, values: Sequence) -> list[np.ndarray]:
     return list(np.cumsum(sums, axis=1) - sums)
 
 
+def _starts_and_rows(cut: DataFrame) -> tuple[list[np.ndarray], int]:
+    totals = dict(cut.groupBy(_BUCKET).count().collect())  # one short row per bucket
+    counts = np.zeros(1 + max(totals, default=0), np.int64)
+    for bucket, rows in totals.items():
+        counts[bucket] = rows
+    return [np.cumsum(counts) - counts], int(counts.sum())
+
+
 def running_sums(frame: DataFrame, key: str, sums: dict[str, str],
                  buckets: int | None = None, ungrouped: DataFrame | None = None) -> DataFrame:
     """Add ``name = inclusive running sum of column`` in ascending ``key`` order.
@@ -87,11 +95,15 @@ def _indexed(cut: DataFrame, key: str, name: str, start: np.ndarray) -> DataFram
     return cut.withColumn(name, rank + offset)
 
 
-def rows_at(frame: DataFrame, positions: Sequence[int], key: str = "id", name: str = "idx",
-            buckets: int | None = None) -> DataFrame:
-    """The rows at the given positions; only buckets that hold one are ordered."""
+def rows_at(frame: DataFrame, positions: Sequence[int] | Callable[[int], Sequence[int]],
+            key: str = "id", name: str = "idx", buckets: int | None = None) -> DataFrame:
+    """The rows at the given positions; only buckets that hold one are ordered.
+
+    Positions may be a function of the number of rows, which is known from the buckets.
+    """
     cut = _bucketed(frame, key, _splits(frame, key, buckets))
-    start = _starts(cut, [F.lit(1)])[0]
+    (start,), rows = _starts_and_rows(cut)
+    positions = positions(rows) if callable(positions) else positions
     touched = np.unique(np.searchsorted(start, np.asarray(positions), side="right") - 1)
     wanted = cut.where(F.col(_BUCKET).isin([int(b) for b in touched]))
     indexed = _indexed(wanted, key, name, start).drop(_KEY, _BUCKET)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hingeworks.functions.vectors import append_bias, linear_score, threshold_label
 from hingeworks.models import KernelModel, LinearModel
 from hingeworks.operators.kernel_ops import anchor_limit, collect_anchors, score_udf
+from hingeworks.sources.scratch import written
+
+_SUM = "__kernel_sum"
 
 
 def predict(points: DataFrame, model: LinearModel | KernelModel,
@@ -45,16 +48,20 @@ def _predict_kernel(points: DataFrame, model: KernelModel, output: str) -> DataF
     if rows <= limit:
         return points.withColumn(output, finish(_kernel_sum(model, model.support, limit)))
 
-    # Too many support rows for one task: each branch holds one part of them,
-    # and only (id, partial sum) pairs are shuffled.
+    # Too many support rows for one task: the points pass by one part of them after
+    # the other, and each row carries its sum. Only one part is held at a time, and
+    # rows are never matched by id, so equal ids keep their own scores.
     parts = -(-rows * 2 // limit)
     part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    partial = reduce(
-        DataFrame.union,
-        (
-            points.select("id", _kernel_sum(model, model.support.where(part == p), limit).alias("s"))
-            for p in range(parts)
-        ),
-    )
-    totals = partial.groupBy("id").agg(F.sum("s").alias("s"))
-    return points.join(totals.select("id", finish(F.col("s")).alias(output)), "id")
+    summed = points.withColumn(_SUM, F.lit(0.0))
+    for p in range(parts):
+        more = _kernel_sum(model, model.support.where(part == p), limit)
+        summed = written(summed.withColumn(_SUM, F.col(_SUM) + more), "kernel_sums")
+    return summed.withColumn(output, finish(F.col(_SUM))).drop(_SUM)
+
+
+def predict_vector(spark: SparkSession, model: LinearModel | KernelModel,
+                   vector: Sequence[float]) -> float:
+    """Label, or raw score of a model without threshold, of one vector."""
+    row = spark.createDataFrame([(0, [float(v) for v in vector])], "id long, features array<double>")
+    return predict(row, model).first()["prediction"]

@@ -44,11 +44,16 @@ def draw_positions(rows: int, iterations: int, seed: int = SEED) -> list[int]:
 def draws(points: DataFrame, iterations: int, seed: int = SEED) -> DataFrame:
     """``(iter, idx, id)``: one uniformly drawn row per iteration, all at once."""
     spark = points.sparkSession
-    rows = points.count()
-    if rows == 0:
-        raise ValueError("cannot draw from an empty table")
-    chosen = draw_positions(rows, iterations, seed)
+    chosen: list[int] = []
+
+    def positions(rows: int) -> list[int]:
+        if rows == 0:
+            raise ValueError("cannot draw from an empty table")
+        chosen.extend(draw_positions(rows, iterations, seed))
+        return sorted(set(chosen))
+
+    # More buckets than draws, so that most of the table is never ordered.
+    found = rows_at(points.select("id"), positions, buckets=max(64, 4 * iterations))
     # One short row per iteration.
     table = spark.createDataFrame(list(enumerate(chosen, 1)), "iter int, idx long")
-    found = rows_at(points.select("id"), sorted(set(chosen)))
     return found.join(short_table(table, iterations), "idx").select("iter", "idx", "id")

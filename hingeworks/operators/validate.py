@@ -23,6 +23,15 @@ def preflight(points: DataFrame) -> DataFrame:
     )
 
 
+def accepted(points: DataFrame, validators: Sequence[Column]) -> bool:
+    """Whether every validator aggregate is 0."""
+    try:
+        require(points, validators)
+    except ValueError:
+        return False
+    return True
+
+
 def require(points: DataFrame, validators: Sequence[Column] | None = None) -> None:
     """Raise unless every validator aggregate is 0; binary labels by default."""
     checks = [bad_labels()] if validators is None else list(validators)

@@ -35,6 +35,7 @@ SEED = 42
 # Below this fraction the batches of many iterations are extracted in one scan
 # instead of scanning the whole table in each.
 EXTRACT_BELOW = 0.15
+EXTRACT_SHARE = 0.3
 MOST_PER_TASK = 16
 
 
@@ -107,8 +108,8 @@ class _Batches:
 
     def _extract(self, first: int) -> None:
         self.release()
-        # As many iterations as together take about one copy of the table.
-        ahead = max(1, int(1.0 / self._largest)) if self._largest > 0 else self._descent.iterations
+        # As many iterations as together hold about this share of the table.
+        ahead = max(1, int(EXTRACT_SHARE / self._largest)) if self._largest > 0 else self._descent.iterations
         self._until = min(self._descent.iterations, first + ahead - 1)
         self._extracted = extract_batches(
             self._blocks.frame, range(first, self._until + 1), self._largest, self._descent.seed
@@ -155,7 +156,8 @@ def descend(blocks: BlockTable, start: np.ndarray, descent: Descent,
                 frame, rule, tasks = batches.at(iteration)
                 fold = gradient_fold(weights * scale[:, None], descent.bias, rule,
                                      descent.gradient)
-                state = add_up(partial_sums(frame, fold, packed_batches), tasks)
+                state = add_up(partial_sums(frame, fold, packed_batches), tasks,
+                               (len(weights) + 2) * count)
                 if state is None:
                     log.warning("iteration %d has an empty batch", iteration)
                     continue

@@ -24,7 +24,7 @@ from hingeworks.operators.kernel_ops import (
 from hingeworks.operators.ordering import short_table
 from hingeworks.operators.sampling import SEED, draws
 from hingeworks.operators.updates import require_reg
-from hingeworks.sources.scratch import use_checkpoints
+from hingeworks.sources.scratch import written
 
 # The driver holds at most about this much of the kernel matrix at a time.
 GRAM_BYTES = 64 * 1024 * 1024
@@ -49,8 +49,8 @@ def _kernel_among(drawn: DataFrame, wanted: list[int], anchors: list[Anchors],
 
 
 def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
-                   kernel: str | Kernel, seed: int = SEED) -> dict[int, int]:
-    """``id -> number of violations`` after the given number of draws."""
+                   kernel: str | Kernel, seed: int = SEED) -> tuple[DataFrame, dict[int, int]]:
+    """The drawn rows, and ``id -> number of violations`` after the given number of draws."""
     require_reg(reg)
     kernel = kernel_named(kernel)
     # One (iteration, id) pair per iteration.
@@ -59,49 +59,44 @@ def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
     spark = points.sparkSession
     names = spark.createDataFrame([(i,) for i in distinct], "id long")
     features = append_bias(F.col("features")) if biased else F.col("features")
-    drawn = (
+    # At most one row per iteration, written once: nothing later scans the points.
+    drawn = written(
         points.join(short_table(names, len(distinct)), "id")
         .select("id", "label", features.cast("array<double>").alias("features"))
-        .repartition(spark.sparkContext.defaultParallelism, "id")
-        .persist()
+        .repartition(spark.sparkContext.defaultParallelism, "id"),
+        "drawn",
     )
-    try:
-        width = drawn.agg(F.max(F.size("features"))).first()[0]
-        anchors = [
-            collect_anchors(drawn.where(F.col("id").between(part[0], part[-1])), len(part))
-            for part in _parts(distinct, anchor_limit(width + 2))
-        ]
-        place = {int(i): j for j, i in enumerate(np.concatenate([a.ids for a in anchors]))}
-        sign = np.concatenate([a.labels for a in anchors]) * 2.0 - 1.0
-        alpha = np.zeros(len(distinct))
-        block = max(1, GRAM_BYTES // (8 * len(distinct)))
-        for start in range(0, iterations, block):
-            ids = order[start : start + block]
-            rows = _kernel_among(drawn, sorted(set(ids)), anchors, kernel)
-            for iteration, i in enumerate(ids, start + 1):
-                own = place[i]
-                terms = sign * alpha
-                terms[own] = 0.0
-                score = sign[own] * (terms @ rows[i]) / (reg * iteration)
-                if score < 1.0:
-                    alpha[own] += 1.0
-    finally:
-        drawn.unpersist()
-    return {i: int(alpha[j]) for i, j in place.items() if alpha[j] > 0}
+    width = drawn.agg(F.max(F.size("features"))).first()[0]
+    anchors = [
+        collect_anchors(drawn.where(F.col("id").between(part[0], part[-1])), len(part))
+        for part in _parts(distinct, anchor_limit(width + 2))
+    ]
+    place = {int(i): j for j, i in enumerate(np.concatenate([a.ids for a in anchors]))}
+    sign = np.concatenate([a.labels for a in anchors]) * 2.0 - 1.0
+    alpha = np.zeros(len(distinct))
+    block = max(1, GRAM_BYTES // (8 * len(distinct)))
+    for start in range(0, iterations, block):
+        ids = order[start : start + block]
+        rows = _kernel_among(drawn, sorted(set(ids)), anchors, kernel)
+        for iteration, i in enumerate(ids, start + 1):
+            own = place[i]
+            terms = sign * alpha
+            terms[own] = 0.0
+            score = sign[own] * (terms @ rows[i]) / (reg * iteration)
+            if score < 1.0:
+                alpha[own] += 1.0
+    return drawn, {i: int(alpha[j]) for i, j in place.items() if alpha[j] > 0}
 
 
 def train_kernel_pegasos(points: DataFrame, *, iterations: int = 100, reg: float = 0.01,
                          biased: bool = False, kernel: str | Kernel = "linear",
                          seed: int = SEED) -> KernelModel:
-    alphas = pegasos_alphas(points, iterations, reg, biased, kernel, seed)
+    drawn, alphas = pegasos_alphas(points, iterations, reg, biased, kernel, seed)
     spark = points.sparkSession
     table = spark.createDataFrame(
         [(i, float(a)) for i, a in alphas.items()], "id long, alpha double"
     )
-    support = support_vectors(points, table, biased, len(alphas))
-    # At most one row per iteration; later uses need not scan the points again.
-    use_checkpoints(spark)
-    support = support.checkpoint()
+    support = support_vectors(drawn, table, most_rows=len(alphas))
     width = support.agg(F.coalesce(F.max(F.size("features")), F.lit(0))).first()[0]
     size = (len(alphas), width)
     return KernelModel(support, kernel_named(kernel), reg * iterations, biased, size=size)

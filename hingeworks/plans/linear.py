@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hingeworks.functions.kernels import Kernel
 from hingeworks.models import LinearModel, TrainingResult
 from hingeworks.operators.blocks import BlockTable, pack_and_check
 from hingeworks.operators.feature_maps import NystromMap, RandomFourierMap
 from hingeworks.operators.gradients import RowGradient, hinge
+from hingeworks.operators.kernel_ops import vector_udf
 from hingeworks.operators.scaling import inverse_deviations
 from hingeworks.operators.updates import (
     Updater,
@@ -24,6 +25,12 @@ from hingeworks.operators.validate import require
 from hingeworks.plans.descent import SEED, Descent, Setting, descend
 
 
+def mapped_points(points: DataFrame, feature_map=None) -> DataFrame:
+    if feature_map is None:
+        return points
+    return points.withColumn("features", vector_udf(feature_map)(F.col("features").cast("array<double>")))
+
+
 def split_weights(weights: np.ndarray, bias: bool) -> tuple[np.ndarray, float]:
     return (weights[:-1], float(weights[-1])) if bias else (weights, 0.0)
 
@@ -64,18 +71,19 @@ def train_with_rule(points: DataFrame, updater: Updater, *, iterations: int = 10
                     initial_weights: Sequence[float] | None = None, intercept: bool = False,
                     validate: bool = True, validators: Sequence[Column] = (),
                     scale: bool = False, gradient: RowGradient = hinge,
-                    seed: int = SEED,
+                    seed: int = SEED, feature_map=None,
                     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> TrainingResult:
     """Mini-batch descent with any update rule and row gradient.
 
     With ``intercept`` the bias starts at 1.0 and is regularised. ``validate``
     checks that labels are 0 or 1 and that each aggregate in ``validators`` is
     0. ``scale`` trains on features divided by their standard deviation and
-    maps the weights back.
+    maps the weights back. ``feature_map`` is a function of a matrix, such as the
+    ``block`` of a feature map; scaling then is that of the mapped features.
     """
     if validate:
         require(points, validators)
-    blocks = pack_and_check(points, storage=storage)
+    blocks = pack_and_check(points, feature_map, storage)
     try:
         if validate and blocks.bad_labels:
             raise ValueError(f"{blocks.bad_labels} labels are neither 0 nor 1")
@@ -85,7 +93,7 @@ def train_with_rule(points: DataFrame, updater: Updater, *, iterations: int = 10
         if blocks.width is not None and len(slopes) != blocks.width:
             raise ValueError(f"{len(slopes)} initial weights for {blocks.width} features")
         start = np.append(slopes, 1.0) if intercept else slopes
-        inverse = inverse_deviations(points) if scale and blocks.rows else None
+        inverse = inverse_deviations(mapped_points(points, feature_map)) if scale and blocks.rows else None
         weights, (trace,) = descend(
             blocks, start,
             Descent(iterations, reg, updater, gradient, bias=intercept, seed=seed),

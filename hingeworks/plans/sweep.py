@@ -51,13 +51,13 @@ def _trainer_rule(trainer: str) -> Updater:
 
 def sweep(points: DataFrame, trainer: str, dimension: str,
           settings: Sequence[tuple[float, Setting]], *, iterations: int = 100,
-          reg: float = 0.01, seed: int = SEED) -> DataFrame:
+          reg: float = 0.01, seed: int = SEED, feature_map=None) -> DataFrame:
     """``(trainer, dimension, value, iter, loss)`` of all settings.
 
     Each iteration scans the data once for up to ``SETTINGS_PER_SCAN`` settings.
     """
     descent = Descent(iterations, reg, _trainer_rule(trainer), seed=seed)
-    blocks = pack_and_check(points)
+    blocks = pack_and_check(points, feature_map)
     rows = []
     try:
         if blocks.bad_labels:
@@ -78,10 +78,10 @@ def sweep(points: DataFrame, trainer: str, dimension: str,
 
 def timed_sweep(points: DataFrame, trainer: str, dimension: str,
                 settings: Sequence[tuple[float, Setting]], *, iterations: int = 100,
-                reg: float = 0.01, seed: int = SEED) -> DataFrame:
+                reg: float = 0.01, seed: int = SEED, feature_map=None) -> DataFrame:
     """``(trainer, dimension, value, seconds)``, each setting trained on its own."""
     descent = Descent(iterations, reg, _trainer_rule(trainer), seed=seed)
-    blocks = pack_and_check(points)
+    blocks = pack_and_check(points, feature_map)
     rows = []
     try:
         for value, setting in settings:

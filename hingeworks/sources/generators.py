@@ -62,58 +62,68 @@ class _Draw:
         return uniform(self.key, self.seed + stream)
 
 
+def _part(rows: int, parts: int) -> Column:
+    """Which of ``parts`` equal parts of the rows a row is in; every row is in one."""
+    return F.floor(F.col("idx") * parts / F.lit(max(1, rows)))
+
+
 def _linear(d: _Draw, rows: int, sigma: Column, axes: int):
-    first = F.col("idx") < rows // 2
+    first = _part(rows, 2) == 0
     shift = F.when(first, 1.0).otherwise(-1.0)
-    return first, [sigma * d.normal(a) + shift for a in range(axes)], rows // 2 * 2
+    return first, [sigma * d.normal(a) + shift for a in range(axes)]
 
 
 def _circle(d: _Draw, rows: int, sigma: Column):
-    first = F.col("idx") < rows // 2
+    # The ring's radii, 1 to 1.5.
+    first = _part(rows, 2) == 0
     radius, angle = d.uniform(2) * 0.5 + 1.0, d.normal(3) * (2.0 * math.pi)
     ring = [F.cos(angle) * radius, F.sin(angle) * radius]
     ball = [sigma * d.normal(a) for a in range(2)]
-    return first, [F.when(first, b).otherwise(r) for b, r in zip(ball, ring)], rows // 2 * 2
+    return first, [F.when(first, b).otherwise(r) for b, r in zip(ball, ring)]
 
 
 def _mixture(d: _Draw, rows: int, sigma: Column):
     # The three centres; the middle one is class 0.
     centres = [(0.3, 0.5), (-0.3, -0.5), (-1.0, -1.0)]
-    part = F.floor(F.col("idx") / (rows // 3))
+    part = _part(rows, 3)
     axes = []
     for a in range(2):
         centre = F.when(part == 0, centres[0][a]).when(part == 1, centres[1][a])
         axes.append(sigma * d.normal(a) + centre.otherwise(centres[2][a]))
-    return part != 1, axes, rows // 3 * 3
+    return part != 1, axes
 
 
 def _checkers(d: _Draw, rows: int, sigma: Column):
-    cell = F.floor(F.col("idx") / (rows // 16))
-    i, j = F.floor(cell / 4) - 2, cell % 4 - 2
-    return (i + j + 4) % 2 == 1, [i + d.uniform(0), j + d.uniform(1)], rows // 16 * 16
+    # A board of 4 by 4 unit cells around the origin.
+    cell = _part(rows, 16)
+    row, column = F.floor(cell / 4), cell % 4
+    odd = (row + column) % 2 == 1
+    return odd, [row - 2 + d.uniform(0), column - 2 + d.uniform(1)]
 
 
 def _clowns(d: _Draw, rows: int, sigma: Column):
-    first = F.col("idx") < rows // 2
+    # The parabola's range, -3 to 3, and the other class's shift of 6.
+    first = _part(rows, 2) == 0
     x = d.uniform(2) * 6.0 - 3.0
     smile = [x, x * x + d.normal(3)]
     blob = [sigma * d.normal(0), sigma * d.normal(1) + 6.0]
-    return first, [F.when(first, s).otherwise(b) for s, b in zip(smile, blob)], rows // 2 * 2
+    return first, [F.when(first, s).otherwise(b) for s, b in zip(smile, blob)]
 
 
 def _ball(d: _Draw, rows: int, sigma: Column):
-    half = rows // 2
-    side = math.isqrt(half)
-    first = F.col("idx") < half
-    cell = F.col("idx") - half
+    # The paraboloid's base, -1.5 to 1.5 on both axes. Its grid is
+    # square; rows beyond a full square take its first cells again.
+    side = max(1, math.isqrt(rows // 2))
+    first = _part(rows, 2) == 0
+    cell = F.col("idx") - F.lit((rows + 1) // 2)
 
     def at(step: Column) -> Column:
         return step * (3.0 / max(1, side - 1)) - 1.5
 
-    x, y = at(cell % max(1, side)), at(F.floor(cell / max(1, side)))
+    x, y = at(cell % side), at(F.floor(cell / side) % side)
     bowl = [x, y, F.lit(1.5**2) - x * x - y * y]
     ball = [sigma * d.normal(a) for a in range(3)]
-    return first, [F.when(first, b).otherwise(s) for b, s in zip(ball, bowl)], half + side * side
+    return first, [F.when(first, b).otherwise(s) for b, s in zip(ball, bowl)]
 
 
 _SHAPES = {
@@ -131,15 +141,15 @@ def shape(indices: DataFrame, rows: int, name: str, axes: int = 2, sigma: float
           seed: int = 0) -> DataFrame:
     """Points of a named shape for ``idx`` in 0..rows-1.
 
-    Class sizes are equal parts of ``rows``; rows left over by the division,
-    the highest ``idx``, make no point.
+    Class sizes are equal parts of ``rows``, as equal as whole rows allow; every
+    row makes a point.
     """
     try:
         make = _SHAPES[(name.lower(), axes)]
     except KeyError:
         raise ValueError(f"no shape {name!r} in {axes} dimensions; known: {sorted(_SHAPES)}") from None
-    positive, cells, used = make(_Draw(seed), rows, F.lit(float(sigma)))
-    points = indices.where(F.col("idx") < used).select(
+    positive, cells = make(_Draw(seed), rows, F.lit(float(sigma)))
+    points = indices.select(
         F.col("idx").cast("long").alias("id"),
         F.when(positive, 1.0).otherwise(0.0).alias("label"),
         F.array(*[c.cast("double") for c in cells]).alias("features"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Fixed value: number format of written features.
 FEATURE_FORMAT = "%.4f"
@@ -11,8 +11,9 @@ FEATURE_FORMAT = "%.4f"
 def read_labeled_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Points from files, folders or globs.
 
-    A token that is no number fails the job. ``id`` is the position of the row
-    in its partition: unique, and stable while the same files are split alike.
+    A token that is no number fails the job. ``id`` is a hash of the file's name,
+    the line and, for equal lines of a file, their number: the same however the
+    files are split. It costs one shuffle of the lines.
     """
     tokens = F.split(F.rtrim("value"), " ")
     numbers = F.transform(tokens, lambda t: t.try_cast("double"))
@@ -20,9 +21,11 @@ def read_labeled_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.exists(numbers, lambda v: v.isNull()),
         F.raise_error(F.concat(F.lit("not a labelled point: "), F.col("value"))),
     ).otherwise(numbers)
+    equal = Window.partitionBy("file", "value").orderBy("value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     return (
-        spark.read.text(path)
-        .select(F.monotonically_increasing_id().alias("id"), checked.alias("numbers"))
+        lines.withColumn("number", F.row_number().over(equal))
+        .select(F.xxhash64("file", "value", "number").alias("id"), checked.alias("numbers"))
         .select(
             "id",
             F.col("numbers")[0].alias("label"),

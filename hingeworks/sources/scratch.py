@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import shutil
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder; a local one only where none is set and Spark is local."""
+    """The folder that ``spark.checkpoint.dir`` names, which all executors can reach.
+
+    Where it is unset and Spark is local, a folder of this run in the warehouse,
+    removed when the process ends.
+    """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise ValueError(f"set {_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="hingeworks-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    folder = os.path.join(warehouse, f"scratch-{spark.sparkContext.applicationId}")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Write ``frame`` to the shared folder and read it back: its lineage ends here."""
+    path = fresh_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

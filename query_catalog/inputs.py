@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from hingeworks.functions.vectors import dot, literal_vector
 
 WIDTH = 64
 REG = 0.01
@@ -27,16 +29,30 @@ def embedding_points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def projection(axes: int) -> list[list[float]]:
+    """Weights of a fixed map of all dimensions to ``axes``: dimension j goes to axis j % axes."""
+    return [[w if j % axes == a else 0.0 for j, w in enumerate(REFERENCE_WEIGHTS)] for a in range(axes)]
+
+
 def narrow_points(spark: SparkSession, folder: str, axes: int) -> DataFrame:
-    """Embedding points on their first ``axes`` dimensions."""
+    """Embedding points, all dimensions mapped to ``axes``."""
     points = embedding_points(spark, folder)
-    return points.withColumn("features", F.slice("features", 1, axes))
+    mapped = F.array(*[dot(F.col("features"), literal_vector(w)) for w in projection(axes)])
+    return points.withColumn("features", mapped)
 
 
 def lineitem_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Numeric columns of every line item; the id is only carried, never sampled by."""
+    """Numeric columns of every line item.
+
+    Order key and line number repeat, so the id also has the row's place among
+    its repeats, in the order of the numbers that make the point.
+    """
+    cells = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    repeat = F.row_number().over(
+        Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*cells, "l_returnflag"))
+    key = (F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 4096 + repeat
     return table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("id"),
+        key.cast("long").alias("id"),
         F.when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0).alias("label"),
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"),
     )

@@ -91,15 +91,19 @@ PTS = """pts AS (
   FROM embeddings)"""
 
 LINES = """pts AS (
-  SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+  SELECT (l_orderkey * 16 + l_linenumber) * 4096 + row_number() OVER (
+           PARTITION BY l_orderkey, l_linenumber
+           ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS id, CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
          CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y,
          [l_quantity, l_extendedprice, l_discount, l_tax] AS x
   FROM lineitem)"""
 
 
 def narrow(axes: int) -> str:
+    mapped = [f"list_dot_product(x, [CASE WHEN (j - 1) % {axes} = {a} THEN sin(j) ELSE 0.0 END "
+              f"FOR j IN range(1, {WIDTH + 1})])" for a in range(axes)]
     return f"full_points AS (SELECT * FROM ({PTS[len('pts AS ('):-1]})), " \
-           f"pts AS (SELECT id, label, y, x[1:{axes}] AS x FROM full_points)"
+           f"pts AS (SELECT id, label, y, [{', '.join(mapped)}] AS x FROM full_points)"
 
 
 def cells(source: str, *keep: str, column: str = "x") -> str:
@@ -481,7 +485,9 @@ for _name, _value in (
     ("kernel_gaussian", gaussian("a.x", "b.x")),
     ("kernel_polynomial", f"power({dot('a.x', 'b.x')} + 1, 2)"),
 ):
-    add(_name, f"WITH {PTS} SELECT a.id, {r(_value)} AS value FROM pts a JOIN pts b ON b.id = a.id + 1")
+    add(_name, f"""WITH {PTS}, ix AS (SELECT id, x, row_number() OVER (ORDER BY id) - 1 AS idx FROM pts)
+    SELECT a.id, {r(_value)} AS value FROM ix a, ix b
+    WHERE b.idx = (a.idx + 1) % (SELECT count(*) FROM pts)""")
 
 SCORE = f"{dot('x', REFERENCE)} + {REFERENCE_INTERCEPT!r}"
 add("predict_linear", f"WITH {PTS} SELECT id, {r(SCORE)} AS score FROM pts")
@@ -534,7 +540,7 @@ def u(stream: int) -> str:
     return uniform("k", 48 + stream)
 
 
-HALF = "(n // 2)"
+HALF = "((n + 1) // 2)"
 FIRST = f"k < {HALF}"
 
 
@@ -543,32 +549,65 @@ def either(a: str, b: str) -> str:
 
 
 for _axes in (2, 3):
-    add(f"gen_shape_linear_{_axes}d", shape(FIRST, f"{HALF} * 2", [
+    add(f"gen_shape_linear_{_axes}d", shape(FIRST, "n", [
         f"{g(a)} + {either('1.0', '-1.0')}" for a in range(_axes)]))
-add("gen_shape_circle_2d", shape(FIRST, f"{HALF} * 2", [
+add("gen_shape_circle_2d", shape(FIRST, "n", [
     either(f"0.3 * {g(a)}", f"{f}({g(3)} * 2 * pi()) * ({u(2)} * 0.5 + 1.0)")
     for a, f in enumerate(("cos", "sin"))]))
-add("gen_shape_mixture_2d", shape("k // (n // 3) <> 1", "(n // 3) * 3", [
-    f"0.5 * {g(a)} + CASE k // (n // 3) WHEN 0 THEN {c[0]} WHEN 1 THEN {c[1]} ELSE {c[2]} END"
+add("gen_shape_mixture_2d", shape("k * 3 // n <> 1", "n", [
+    f"0.5 * {g(a)} + CASE k * 3 // n WHEN 0 THEN {c[0]} WHEN 1 THEN {c[1]} ELSE {c[2]} END"
     for a, c in enumerate((("0.3", "-0.3", "-1.0"), ("0.5", "-0.5", "-1.0")))]))
-CELL = "(k // (n // 16))"
+CELL = "(k * 16 // n)"
 add("gen_shape_checkers_2d", shape(
-    f"({CELL} // 4 + {CELL} % 4) % 2 = 1", "(n // 16) * 16",
+    f"({CELL} // 4 + {CELL} % 4) % 2 = 1", "n",
     [f"{CELL} // 4 - 2 + {u(0)}", f"{CELL} % 4 - 2 + {u(1)}"]))
 X = f"({u(2)} * 6.0 - 3.0)"
-add("gen_shape_clowns_2d", shape(FIRST, f"{HALF} * 2", [
+add("gen_shape_clowns_2d", shape(FIRST, "n", [
     either(X, f"0.8 * {g(0)}"), either(f"{X} * {X} + {g(3)}", f"0.8 * {g(1)} + 6.0")],
     f""", s AS (SELECT avg(x[1]) AS m1, stddev_pop(x[1]) AS s1, avg(x[2]) AS m2, stddev_pop(x[2]) AS s2 FROM made),
     moved AS (SELECT id, label, [(x[1] - m1) / s1, (x[2] - m2) / s2] AS x FROM made, s)
     {cells('moved', 'id', 'label')}"""))
-SIDE = f"floor(sqrt({HALF}))::BIGINT"
+SIDE = "greatest(1, floor(sqrt(n // 2))::BIGINT)"
 
 
 def _grid(step: str) -> str:
-    return f"({step} * (3.0::DOUBLE / ({SIDE} - 1)) - 1.5)"
+    return f"({step} * (3.0::DOUBLE / greatest(1, {SIDE} - 1)) - 1.5)"
 
 
-BX, BY = _grid(f"((k - {HALF}) % {SIDE})"), _grid(f"((k - {HALF}) // {SIDE})")
-add("gen_shape_ball_3d", shape(FIRST, f"{HALF} + {SIDE} * {SIDE}", [
+BX, BY = _grid(f"((k - {HALF}) % {SIDE})"), _grid(f"((k - {HALF}) // {SIDE} % {SIDE})")
+BALL = shape(FIRST, "n", [
     either(f"0.4 * {g(0)}", BX), either(f"0.4 * {g(1)}", BY),
-    either(f"0.4 * {g(2)}", f"2.25 - {BX} * {BX} - {BY} * {BY}")]))
+    either(f"0.4 * {g(2)}", f"2.25 - {BX} * {BX} - {BY} * {BY}")])
+add("gen_shape_ball_3d", BALL)
+BALL_POINTS = (BALL[BALL.index("WITH ") + 5:].rsplit("SELECT", 2)[0].rstrip()
+               + ", pts AS (SELECT id, label, label * 2 - 1 AS y, x FROM made)")
+add("surface_3d_kernel", f"""WITH {BALL_POINTS}, {landmark_table(12, 5)}, axis AS (
+  SELECT unnest(range(0, 101)) * 0.05::DOUBLE - 2.5::DOUBLE AS v),
+scored AS (SELECT a.v AS x, b.v AS y, c.v AS z,
+    abs(sum(l.y * {gaussian('l.x', '[a.v, b.v, c.v]')})) AS s
+  FROM axis a, axis b, axis c, (SELECT lm.id, y, lm.x FROM lm JOIN pts USING (id)) l GROUP BY a.v, b.v, c.v)
+SELECT {r('x')} AS x, {r('y')} AS y, {r('arg_min(z, (s, z))')} AS z FROM scored GROUP BY x, y""")
+add("kernel_gaussian_lineitem", f"""WITH {LINES.replace('pts AS', 'raw_points AS', 1)},
+pts AS (SELECT id, label, y, [v / 50.0 FOR v IN x] AS x FROM raw_points), {landmark_table(5, 5)}
+SELECT p.id, (row_number() OVER (PARTITION BY p.id ORDER BY l.id) - 1)::INTEGER AS dim,
+       {r(gaussian('p.x', 'l.x'))} AS value FROM pts p, lm l""")
+add("minibatch_lineitem", f"WITH {LINES} SELECT id, label FROM pts WHERE {uniform('id', 45)} < 0.1")
+add("predict_one", f"""WITH {PTS}, m AS (SELECT list(v ORDER BY d) AS x FROM (
+  SELECT d, avg(x[d]) AS v FROM (SELECT x, unnest(range(1, {WIDTH + 1})) AS d FROM pts) GROUP BY d))
+SELECT {r(SCORE)} AS score, CASE WHEN {SCORE} > 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM m""")
+add("own_validators", f"""WITH {PTS}
+SELECT 'width' AS name, (count_if(len(x) <> {WIDTH}) = 0)::INTEGER AS accepted FROM pts
+UNION ALL SELECT 'unit_length', (count_if(abs(list_dot_product(x, x) - 1) > 1e-3) = 0)::INTEGER FROM pts
+UNION ALL SELECT 'positive', (count_if(list_min(x) < 0) = 0)::INTEGER FROM pts""")
+add("train_own_rule", f"""WITH RECURSIVE {PTS}, st(i, w, loss) AS (
+  SELECT 0::BIGINT, [0.0::DOUBLE FOR j IN range(1, {WIDTH + 1})], 0.0::DOUBLE
+  UNION ALL
+  SELECT q.i + 1, [q.w[d] - 2.0 * power(0.5, q.i + 1) * list_sum(list_transform(a.gs, lambda g: g[d])) / a.n
+                   FOR d IN range(1, {WIDTH + 1})], a.loss
+  FROM (SELECT * FROM st WHERE i < 5) q, LATERAL (
+    SELECT count(*) AS n, avg(abs(gap)) AS loss, list(list_transform(x, lambda v: sign(gap) * v)) AS gs
+    FROM (SELECT x, list_dot_product(x, q.w) - y AS gap FROM pts)) a),
+last_w AS (SELECT w FROM st ORDER BY i DESC LIMIT 1)
+SELECT 'loss' AS part, i::INTEGER AS pos, {r('loss')} AS value FROM st WHERE i > 0
+UNION ALL SELECT 'weight', (d - 1)::INTEGER, {r('w[d]')} FROM (SELECT *, unnest(range(1, {WIDTH + 1})) AS d FROM last_w)
+UNION ALL SELECT 'intercept', 0::INTEGER, 0.0::DOUBLE""")

@@ -6,22 +6,24 @@ their last bits on the order of addition.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.functions.kernels import GAUSSIAN, LINEAR, POLYNOMIAL
 from hingeworks.functions.vectors import (
     append_bias,
+    dot,
     literal_vector,
     signed_label,
     signed_margin,
     split_bias,
 )
-from hingeworks.models import LinearModel, TrainingResult
+from hingeworks.models import KernelModel, LinearModel, TrainingResult
 from hingeworks.operators import metrics, ordering, sampling, surfaces, validate
 from hingeworks.operators.feature_maps import NystromMap, RandomFourierMap, gram
 from hingeworks.operators.gradients import gradient_sums
-from hingeworks.operators.kernel_ops import kernel_scores, support_vectors
-from hingeworks.operators.predict import predict
+from hingeworks.operators.kernel_ops import collect_anchors, kernel_rows, kernel_scores, support_vectors
+from hingeworks.operators.predict import predict, predict_vector
 from hingeworks.operators.scaling import scale_features
 from hingeworks.operators.updates import pegasos_rate, sqrt_rate, updated_weights
 from hingeworks.plans import linear, sweep as sweeps
@@ -295,13 +297,8 @@ def support_vectors_query(spark, folder):
 
 @query
 def kernel_score(spark, folder):
-    points = embedding_points(spark, folder)
-    weighted = points.join(drawn_alphas(spark, folder), "id", "left").select(
-        "id", signed_label(F.col("label")).alias("y"), "features",
-        F.coalesce("alpha", F.lit(0.0)).alias("alpha"),
-    )
-    targets = sampling.landmarks(points, 10, seed=5)
-    return kernel_scores(weighted, targets, GAUSSIAN).withColumn("score", r6("score"))
+    targets = sampling.landmarks(embedding_points(spark, folder), 10, seed=5)
+    return kernel_scores(support_table(spark, folder), targets, GAUSSIAN).withColumn("score", r6("score"))
 
 
 @query
@@ -471,11 +468,13 @@ def nystrom_transform(spark, folder):
 
 
 def neighbour_kernel(spark, folder, kernel):
-    """Kernel of every point with the point of the next id."""
-    points = embedding_points(spark, folder)
-    following = points.select((F.col("id") - 1).alias("id"), F.col("features").alias("other"))
+    """Kernel of every point with the next one in the order of ids; the last meets the first."""
+    points = ordering.row_index(embedding_points(spark, folder))
+    rows = points.count()
+    following = points.select(
+        F.pmod(F.col("idx") - 1, F.lit(rows)).alias("idx"), F.col("features").alias("other"))
     value = kernel.column(F.col("features"), F.col("other"))
-    return points.join(following, "id").select("id", r6(value).alias("value"))
+    return points.join(following, "idx").select("id", r6(value).alias("value"))
 
 
 @query
@@ -525,6 +524,79 @@ def narrow_model(spark, folder, axes):
     return linear.train_linear_pegasos(points, iterations=5, reg=REG).model
 
 
+@query
+def surface_3d_kernel(spark, folder):
+    """Surface of a Gaussian kernel model of a generated ball, one point per order.
+
+    The model's weights are those of landmarks: every landmark counts once.
+    """
+    rows = order_ids(spark, folder).count()
+    ball = generators.shape(order_positions(spark, folder), rows, "ball", 3, 0.4, seed=3)
+    chosen = sampling.landmarks(ball, 12, seed=5)
+    support = support_vectors(chosen, chosen.select("id", F.lit(1.0).alias("alpha")), most_rows=12)
+    surface = surfaces.surface_3d(spark, KernelModel(support, GAUSSIAN, 12.0, False, size=(12, 3)))
+    return surface.select(r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
+
+
+@query
+def kernel_gaussian_lineitem(spark, folder):
+    """Gaussian kernel of line items, at prices of up to 100,000, against their landmarks."""
+    points = lineitem_points(spark, folder)
+    near = points.withColumn("features", F.transform("features", lambda v: v / F.lit(50.0)))
+    chosen = sampling.landmarks(near, 5, seed=5)
+    rows = kernel_rows(near, collect_anchors(chosen, 5), GAUSSIAN)
+    return cells(rows.select(F.col("id"), F.col("kernel_row")), "id", column="kernel_row")
+
+
+@query
+def minibatch_lineitem(spark, folder):
+    return sampling.minibatch(lineitem_points(spark, folder), 0.1, 3).select("id", "label")
+
+
+@query
+def predict_one(spark, folder):
+    """Score of the single vector that is the mean of all embeddings."""
+    mean = embedding_points(spark, folder).select(F.posexplode("features").alias("pos", "v")).groupBy(
+        "pos").agg(F.avg("v").alias("v")).orderBy("pos")
+    vector = [row["v"] for row in mean.collect()]  # one number per dimension
+    score = predict_vector(spark, reference_model().without_threshold(), vector)
+    label = predict_vector(spark, reference_model().with_threshold(0.1), vector)
+    return spark.createDataFrame([(score, label)], "score double, prediction double").withColumn(
+        "score", r6("score"))
+
+
+@query
+def own_validators(spark, folder):
+    """Whether checks of one's own accept the points: 1 for accepted, 0 for refused."""
+    points = embedding_points(spark, folder)
+    checks = {
+        "width": F.count_if(F.size("features") != 64),
+        "unit_length": F.count_if(F.abs(dot(F.col("features"), F.col("features")) - 1.0) > 1e-3),
+        "positive": F.count_if(F.exists("features", lambda v: v < 0)),
+    }
+    return spark.createDataFrame(
+        [(name, int(validate.accepted(points, [check]))) for name, check in checks.items()],
+        "name string, accepted int")
+
+
+def absolute_gradient(scores, labels):
+    """Distance of score and signed label, and its sub-gradient factor: a rule of one's own."""
+    gap = scores - (labels * 2.0 - 1.0)[:, None]
+    return np.abs(gap), np.sign(gap)
+
+
+def halving_update(weights, mean_gradient, step, iteration, reg):
+    """A step that halves every iteration, without regularisation."""
+    return weights - step * 0.5 ** iteration * mean_gradient, 0.0
+
+
+@query
+def train_own_rule(spark, folder):
+    result = linear.train_with_rule(embedding_points(spark, folder), halving_update, iterations=5,
+                                    step=2.0, gradient=absolute_gradient)
+    return trained(spark, result)
+
+
 @query
 def surface_2d(spark, folder):
     surface = surfaces.surface_2d(spark, narrow_model(spark, folder, 2))

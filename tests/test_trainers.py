@@ -89,7 +89,7 @@ def test_square_root_rule_agrees_with_the_library_trainer(spark, blob_points, bl
 
 
 def test_partials_are_also_added_on_the_cluster(monkeypatch, make_points, blob):
-    monkeypatch.setattr(block_ops, "DIRECT_PARTIALS", 0)
+    monkeypatch.setattr(block_ops, "DIRECT_BYTES", 0)
     result = linear.train_pegasos(make_points(zip(*blob), 6), iterations=5, reg=REG)
     same(result, loop(blob, pegasos(1.0), 5, start=np.zeros(5)))
 
