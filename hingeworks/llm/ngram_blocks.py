@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.llm.text import Segment, cuts, utf8
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS = "block long, doc_ids array<long>, flags array<boolean>, offsets array<long>, data binary"
 REQUESTS = "bucket long, kind int, block long, size int, keys binary, counts binary"
 ANSWERS = "kind int, bucket long, block long, totals binary, known long, sum long"

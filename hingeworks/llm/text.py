@@ -37,7 +37,7 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64."""
     held = worker_state("powers", dict)
     if len(held.get("up", ())) < count:
-        size = max(count, 1 << 21)
+        size = max(count, 1 << 20)
         inverse = pow(_BASE, -1, 1 << 64)
         for key, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, dtype=np.uint64)
