@@ -32,7 +32,8 @@ def _splits(frame: DataFrame, key: str, buckets: int | None) -> list[float]:
     cuts = frame.select(
         F.percentile_approx(F.col(key).cast("double"), shares or [0.5], max(10000, 20 * buckets))
     ).first()[0]
-    return [-np.inf, *sorted(set(cuts or [])), np.inf]
+    # A table without keys still needs three cuts.
+    return [-np.inf, *(sorted(set(cuts or [])) or [0.0]), np.inf]
 
 
 def _bucketed(frame: DataFrame, key: str, splits: list[float]) -> DataFrame:
