@@ -36,7 +36,7 @@ ORDER, SHARED_ORDERS = 5, 2
 DISCOUNT = 0.75
 OPEN, CLOSE = 1, 2  # bytes that stand for a word's borders
 FOLDS = 4
-SLOTS, MOST_WORDS = 1 << 21, 1 << 20
+SLOTS, MOST_WORDS = 1 << 20, 1 << 19
 NGRAMS = "length int, gram long, label int, fold int, n long"
 
 
@@ -158,9 +158,16 @@ class ToxicityModel:
     levels: list[Level]
     logistic: np.ndarray | None = None
 
+    def _table(self) -> HashTable:
+        """This worker's table of word differences; one model's takes the place of another's."""
+        held = worker_state("toxicity", dict)
+        if held.get("name") != self.name:
+            held["name"], held["table"] = self.name, HashTable(SLOTS)
+        return held["table"]
+
     def differences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log-likelihood difference and the number of bytes it is over."""
-        table = worker_state(f"toxicity {self.name}", lambda: HashTable(SLOTS))
+        table = self._table()
         sums, sizes = [], []
         for _, _, segment in segments(column):
             found = words(segment, LETTER_BYTES)
