@@ -151,6 +151,8 @@ class Encoder:
 
     def encode(self, texts: list[str], with_pieces: bool = False) -> Encoded:
         """``with_pieces``: per text the characters and ids before each of its pieces."""
+        if not texts:
+            return Encoded(np.zeros(0, np.uint32), np.zeros(1, np.int64), [] if with_pieces else None)
         whole = {i for i, t in enumerate(texts) if any(s in t for s in SPECIAL)}
         while True:
             parts = ["" if i in whole else t for i, t in enumerate(texts)]

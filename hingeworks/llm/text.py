@@ -1,6 +1,6 @@
 """Words of many documents at once: UTF-8 bytes of an Arrow array as numpy arrays.
 
-A segment is a run of documents of about a megabyte. Its words are found with
+A segment is a run of documents of about half a megabyte. Its words are found with
 byte masks and identified by a 64-bit hash, so no Python object is made for a
 word. Null texts count as empty everywhere.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _STATE = "_hingeworks_worker_state"
 
