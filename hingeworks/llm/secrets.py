@@ -98,7 +98,7 @@ def window_class(counts: dict[str, int]) -> str | None:
 
 def entropy_spans(candidate: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Joined windows whose entropy reaches the threshold of their class."""
-    log = [0.0, *(n * math.log2(n) for n in range(1, window + 1))]
+    log = [0.0, *(n * math.log2(n) for n in range(1, window + 2))]
     counts: dict[str, int] = {}
     weight, found = 0.0, []
 
