@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from hingeworks.llm.hash_table import HashTable
-from hingeworks.llm.text import span_hashes, worker_state
+from hingeworks.llm.text import heavy_state, span_hashes, worker_state
 
 SLOTS = 1 << 21
 MOST_PIECES = 1 << 20
@@ -223,7 +223,7 @@ class Encoder:
 
 def encoder(path: str, byte_level: bool) -> Encoder:
     """This worker's encoder for a file."""
-    return worker_state(f"encoder {path}", lambda: Encoder(path, byte_level))
+    return heavy_state("encoder", path, lambda: Encoder(path, byte_level))
 
 
 def byte_letters() -> dict[str, int]:

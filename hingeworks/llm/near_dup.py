@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hingeworks.llm.components import components
 from hingeworks.llm.tables import written
-from hingeworks.llm.text import Segment, mix, segments, windows, words
+from hingeworks.llm.text import Segment, give_back, heavy_state, mix, segments, windows, words
 
 SHINGLE = 5
 PERCENT = 85
@@ -108,6 +108,7 @@ def sketch_similarity(differing: np.ndarray, samples: int = BANDS * BAND_ROWS,
 
 def _signatures(column: pa.Array) -> pa.Array:
     parts: list[tuple] = []
+    heavy_state("shingles", "none", dict)
     for _, _, segment in segments(column):
         hashes, offsets = shingle_sets(segment)
         sizes = np.diff(offsets)
@@ -212,6 +213,8 @@ def _links(table: pa.Table) -> pa.Table:
         for i, j in forest(sketches[rows], [sets[r] for r in rows], sides[rows]):
             left.append(ids[rows[i]])
             right.append(ids[rows[j]])
+    del sketches, sets
+    give_back()
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 

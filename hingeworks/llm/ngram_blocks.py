@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from hingeworks.llm.text import Segment, cuts, utf8
+from hingeworks.llm.text import Segment, cuts, give_back, heavy_state, utf8
 
 BLOCK_BYTES = 4 << 20
 BLOCKS = "block long, doc_ids array<long>, flags array<boolean>, offsets array<long>, data binary"
@@ -124,6 +124,7 @@ def _ask(keys_of: Keys, buckets: int):
                         pa.array([squeeze_sorted(keys[s:e]) for _, s, e in parts], pa.binary()),
                         pa.array([squeeze(counts[s:e].astype(np.uint32)) for _, s, e in parts], pa.binary()),
                     ], names=["bucket", "kind", "block", "size", "keys", "counts"])
+                give_back()
 
     return run
 
@@ -140,6 +141,7 @@ def bucket_totals(table: pa.Table) -> Iterator[tuple[int, pa.Table, np.ndarray,
 
 
 def _answer(table: pa.Table) -> pa.Table:
+    heavy_state("counts", "none", dict)
     bucket = table.column("bucket")[0].as_py()
     out = {name: [] for name in ("kind", "bucket", "block", "totals", "known", "sum")}
     for kind, rows, distinct, totals, inverse in bucket_totals(table):
@@ -153,6 +155,7 @@ def _answer(table: pa.Table) -> pa.Table:
             out["totals"].append(squeeze(part))
             out["known"].append(int((totals > 0).sum()) if n == 0 else 0)
             out["sum"].append(int(totals.sum()) if n == 0 else 0)
+    give_back()
     types = {"kind": pa.int32(), "totals": pa.binary()}
     return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
 

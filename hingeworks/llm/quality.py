@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hingeworks.llm.samples import labelled_sample
-from hingeworks.llm.text import Segment, WORD_BYTES, mix, segments, span_hashes, sums_by_document, windows, words
+from hingeworks.llm.text import Segment, WORD_BYTES, heavy_state, mix, segments, span_hashes, sums_by_document, windows, words
 
 SAMPLE_ROWS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -94,6 +94,7 @@ def segment_counts(segment: Segment) -> dict[str, np.ndarray]:
 
 
 def _statistics(column: pa.Array) -> pa.Array:
+    heavy_state("statistics", "none", dict)
     parts = [segment_counts(segment) for _, _, segment in segments(column)]
     return pa.StructArray.from_arrays([
         pa.array(np.concatenate([p[name] for p in parts]).astype(np.int64) if parts else [], pa.int64())

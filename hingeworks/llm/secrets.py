@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from hingeworks.llm.text import LOWER, Segment, segments
+from hingeworks.llm.text import LOWER, Segment, heavy_state, segments
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
@@ -173,6 +173,7 @@ def _segment_spans(segment: Segment) -> list[list[tuple[str, int, int]]]:
 
 
 def _spans(column: pa.Array) -> pa.Array:
+    heavy_state("secrets", "none", dict)
     rows = [own for _, _, segment in segments(column) for own in _segment_spans(segment)]
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     return pa.array([[dict(zip(("kind", "start", "end"), s)) for s in own] for own in rows], pa.list_(kind))

@@ -7,6 +7,7 @@ word. Null texts count as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -33,6 +34,25 @@ def worker_state(name: str, make: Callable[[], object]):
     return module.__dict__[name]
 
 
+def heavy_state(use: str, name: str, make: Callable[[], object]):
+    """Like ``worker_state`` for large tables: those of another use are let go first."""
+    held = worker_state("heavy", dict)
+    if held.get("use") != use:
+        held.clear()
+        held["use"] = use
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which allocators otherwise keep for this worker."""
+    pa.default_memory_pool().release_unused()
+    library = worker_state("libc", lambda: ctypes.CDLL(None))
+    if hasattr(library, "malloc_trim"):  # glibc
+        library.malloc_trim(0)
+
+
 def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64."""
     held = worker_state("powers", dict)
@@ -118,6 +138,7 @@ def segments(column, limit: int = SEGMENT_BYTES) -> Iterator[tuple[int, int, Seg
     for first, last in cuts(offsets, limit):
         part = offsets[first: last + 1]
         yield first, last, Segment(data[part[0]: part[-1]], part - part[0])
+    give_back()
 
 
 @dataclass

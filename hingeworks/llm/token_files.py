@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
 from hingeworks.llm.encoder import encoder
-from hingeworks.llm.text import cuts, utf8
+from hingeworks.llm.text import cuts, give_back, utf8
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 32 << 20
@@ -35,10 +35,11 @@ DELTA_COLUMNS = ("part", "doc_id", "local_start", "n_tokens")
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of about a megabyte of texts, nulls as empty."""
+    """Runs of about half a megabyte of texts, nulls as empty."""
     _, offsets = utf8(column)
     for first, last in cuts(offsets):
         yield first, last, [t or "" for t in column.slice(first, last - first).to_pylist()]
+    give_back()
 
 
 def encode_rows(path: str, byte_level: bool, end_id: int):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hingeworks.llm.hash_table import HashTable
 from hingeworks.llm.samples import labelled_sample
-from hingeworks.llm.text import LETTER_BYTES, LOWER, segments, sums_by_document, words, worker_state
+from hingeworks.llm.text import LETTER_BYTES, LOWER, heavy_state, segments, sums_by_document, words
 
 SAMPLE_ROWS = 6_000
 ORDER, SHARED_ORDERS = 5, 2
@@ -160,10 +160,7 @@ class ToxicityModel:
 
     def _table(self) -> HashTable:
         """This worker's table of word differences; one model's takes the place of another's."""
-        held = worker_state("toxicity", dict)
-        if held.get("name") != self.name:
-            held["name"], held["table"] = self.name, HashTable(SLOTS)
-        return held["table"]
+        return heavy_state(f"toxicity {self.name}", "words", lambda: HashTable(SLOTS))
 
     def differences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log-likelihood difference and the number of bytes it is over."""
