@@ -50,7 +50,7 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 def commit(changes: DataFrame, store: str, batch_id: int) -> None:
-    (deltas(changes).withColumn("batch_id", F.lit(int(batch_id)).cast("long")).coalesce(1)
+    (deltas(changes).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(store))
 
