@@ -226,10 +226,10 @@ def _seen(parts: DataFrame) -> Row:
 
 
 def _advise_cached(points: DataFrame) -> None:
-    """Scaling and validators read the source again, so say where it is not cached."""
+    """Validators read the source again, so say where it is not cached."""
     level = points.storageLevel
     if not (level.useMemory or level.useDisk):
-        log.warning("the input is not cached; validators and scaling scan it again")
+        log.warning("the input is not cached; validators scan it again")
 
 
 def _partition_counts(frame: DataFrame) -> DataFrame:

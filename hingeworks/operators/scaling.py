@@ -8,7 +8,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.functions.vectors import literal_vector
-from hingeworks.operators.blocks import point_rows
+from hingeworks.operators.blocks import (
+    BLOCK_COLUMNS,
+    BlockTable,
+    add_up,
+    packed_batches,
+    partial_sums,
+    point_rows,
+)
 
 # Moments are merged on the cluster into this many vectors before the last merge.
 MOMENT_SHARDS = 64
@@ -40,9 +47,32 @@ def column_deviations(points: DataFrame) -> np.ndarray:
     return np.sqrt(spread / max(1, total - 1))
 
 
-def inverse_deviations(points: DataFrame) -> np.ndarray:
+def block_deviations(blocks: BlockTable) -> np.ndarray:
+    """Sample standard deviation of every feature of a packed table, without its source.
+
+    Sums are those of the distances to one row, so far values lose no digits.
+    """
+    columns = blocks.frame.select(*BLOCK_COLUMNS)
+    (_, _, some), *_ = packed_batches(columns.limit(1).toArrow().to_batches())
+    centre, width = some[0].copy(), some.shape[1]
+
+    def fold(parts):
+        state = None
+        for _, _, cells in parts:
+            gap = cells - centre
+            own = np.concatenate([[len(gap)], gap.sum(axis=0), (gap * gap).sum(axis=0)])
+            state = own if state is None else state + own
+        return state
+
+    total = add_up(partial_sums(columns, fold, packed_batches), blocks.partitions, 2 * width + 1)
+    rows, sums, squares = total[0], total[1: width + 1], total[width + 1:]
+    return np.sqrt(np.maximum(squares - sums * sums / rows, 0.0) / max(1.0, rows - 1))
+
+
+def inverse_deviations(points: DataFrame | BlockTable) -> np.ndarray:
     """``1 / deviation``, and 0 for a constant feature."""
-    deviations = column_deviations(points)
+    packed = isinstance(points, BlockTable)
+    deviations = block_deviations(points) if packed else column_deviations(points)
     return np.divide(1.0, deviations, out=np.zeros_like(deviations), where=deviations != 0)
 
 

@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from hingeworks.functions.kernels import Kernel
 from hingeworks.models import LinearModel, TrainingResult
 from hingeworks.operators.blocks import BlockTable, pack_and_check
 from hingeworks.operators.feature_maps import NystromMap, RandomFourierMap
 from hingeworks.operators.gradients import RowGradient, hinge
-from hingeworks.operators.kernel_ops import vector_udf
 from hingeworks.operators.scaling import inverse_deviations
 from hingeworks.operators.updates import (
     Updater,
@@ -25,12 +24,6 @@ from hingeworks.operators.validate import require
 from hingeworks.plans.descent import SEED, Descent, Setting, descend
 
 
-def mapped_points(points: DataFrame, feature_map=None) -> DataFrame:
-    if feature_map is None:
-        return points
-    return points.withColumn("features", vector_udf(feature_map)(F.col("features").cast("array<double>")))
-
-
 def split_weights(weights: np.ndarray, bias: bool) -> tuple[np.ndarray, float]:
     return (weights[:-1], float(weights[-1])) if bias else (weights, 0.0)
 
@@ -93,7 +86,7 @@ def train_with_rule(points: DataFrame, updater: Updater, *, iterations: int = 10
         if blocks.width is not None and len(slopes) != blocks.width:
             raise ValueError(f"{len(slopes)} initial weights for {blocks.width} features")
         start = np.append(slopes, 1.0) if intercept else slopes
-        inverse = inverse_deviations(mapped_points(points, feature_map)) if scale and blocks.rows else None
+        inverse = inverse_deviations(blocks) if scale and blocks.rows else None
         weights, (trace,) = descend(
             blocks, start,
             Descent(iterations, reg, updater, gradient, bias=intercept, seed=seed),

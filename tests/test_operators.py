@@ -10,7 +10,8 @@ from hingeworks.operators.feature_maps import NystromMap, RandomFourierMap, gram
 from hingeworks.operators.gradients import gradient_sums
 from hingeworks.operators.kernel_ops import kernel_scores
 from hingeworks.operators.predict import predict
-from hingeworks.operators.scaling import column_deviations, scale_features
+from hingeworks.operators.blocks import pack_and_check
+from hingeworks.operators.scaling import block_deviations, column_deviations, scale_features
 
 
 def ids_of(frame):
@@ -94,6 +95,9 @@ def test_scaling(make_points, blob):
     ids, labels, cells = blob
     points = make_points(zip(ids, labels, cells * 1e6 + 1e9), 5)
     np.testing.assert_allclose(column_deviations(points), cells.std(axis=0, ddof=1) * 1e6, rtol=1e-7)
+    packed = pack_and_check(points)
+    np.testing.assert_allclose(block_deviations(packed), cells.std(axis=0, ddof=1) * 1e6, rtol=1e-7)
+    packed.release()
     scaled = np.array([r.features for r in scale_features(make_points(zip(*blob), 3)).collect()])
     np.testing.assert_allclose(scaled.std(axis=0, ddof=1), 1.0)
 
