@@ -138,13 +138,16 @@ def _signatures(column: pa.Array) -> pa.Array:
     ], names=["n_shingles", "low", "high", "bands", "sketch"])
 
 
-def _full_sets(column: pa.Array) -> pa.Array:
-    found = []
-    for _, _, segment in segments(column):
-        hashes, offsets = shingle_sets(segment)
-        view = memoryview(hashes).cast("B") if len(hashes) else memoryview(b"")
-        found += [bytes(view[8 * a: 8 * b]) for a, b in zip(offsets[:-1], offsets[1:])]
-    return pa.array(found, pa.binary())
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    heavy_state("shingles", "none", dict)
+    for batch in batches:
+        for first, last, segment in segments(batch.column("text")):
+            hashes, offsets = shingle_sets(segment)
+            view = memoryview(hashes).cast("B") if len(hashes) else memoryview(b"")
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").slice(first, last - first),
+                pa.array([bytes(view[8 * a: 8 * b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+            ], names=["id", "shingles"])
 
 
 def signatures(text: Column) -> Column:
@@ -260,7 +263,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs = block_pairs(groups, block)
     # Of an id with several texts, the one that stands for the class is found by its set.
     texts = rows.join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-    sets = texts.select(F.col("doc_id").alias("id"), F.arrow_udf(_full_sets, "binary")(F.col("text")).alias("shingles"))
+    sets = texts.select("doc_id", "text").mapInArrow(_full_sets, "id long, shingles binary")
     sketches = classes.select("id", "n_shingles", "sketch")
     full = sets.join(sketches, "id").where(F.length("shingles") == 8 * F.col("n_shingles")).dropDuplicates(
         ["id", "shingles"])

@@ -238,9 +238,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """A list from at most ``rows`` labelled documents that pass the base rules; label 0 is bad."""
     sample = labelled_sample(docs, labels, label, rows).withColumn("stats", statistics(F.col("text")))
     stats = F.col("stats")
-    table = sample.where(~base_failed(stats)).select(
-        F.xxhash64("doc_id").alias("order"), "label", *(feature(n, stats).alias(n) for n in FEATURES)
+    # Filtered here: a filter on the statistics would measure every text twice.
+    table = sample.select(
+        F.xxhash64("doc_id").alias("order"), "label", base_failed(stats).alias("failed"),
+        *(feature(n, stats).alias(n) for n in FEATURES)
     ).toPandas().sort_values("order", kind="stable")
+    table = table[~table["failed"].astype(bool)]
     cells = {name: table[name].to_numpy(float) for name in FEATURES}
     return grow_list(cells, table["label"].to_numpy() == 0, precision)
 
