@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from hingeworks.llm.encoder import SPECIAL, byte_strings, encoder
-from hingeworks.llm.text import mix, powers, worker_state
+from hingeworks.llm.text import mix, powers
 from hingeworks.llm.token_files import texts_of
 
 WINDOW = 24

@@ -1,6 +1,5 @@
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from pyspark.sql import functions as F
 
 from hingeworks.llm import near_dup
 from hingeworks.llm.tables import written
