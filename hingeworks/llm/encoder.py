@@ -22,6 +22,7 @@ from hingeworks.llm.text import heavy_state, span_hashes, worker_state
 
 SLOTS = 1 << 21
 MOST_PIECES = 1 << 20
+_LONG = 0xFFFF  # the length of a run that begins with its true length
 _SENTINEL = "\U0010ffff"
 _EDGE, _SPACE, _LETTER, _DIGIT, _OTHER, _ODD, _WHOLE = range(7)
 
@@ -72,7 +73,11 @@ class Encoded:
 
 
 class PieceTable(HashTable):
-    """From piece hash to a run of ids: ``place << 16 | length`` in the pool."""
+    """From piece hash to a run of ids: ``place << 16 | length`` in the pool.
+
+    A run of ``_LONG`` ids or more is marked by that length; the pool has its true
+    length at ``place`` and its ids after it.
+    """
 
     def __init__(self):
         super().__init__(SLOTS)
@@ -84,15 +89,25 @@ class PieceTable(HashTable):
 
     def add(self, hashes: np.ndarray, ids: list[list[int]]):
         """Keep new distinct hashes."""
+        ids = [run if len(run) < _LONG else [len(run), *run] for run in ids]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         flat = np.fromiter((i for run in ids for i in run), np.uint32, total)
         self.pool[self.used: self.used + total] = flat
-        self.put(hashes, (self.used + np.cumsum(lengths) - lengths) << 16 | lengths)
+        places = self.used + np.cumsum(lengths) - lengths
+        self.put(hashes, places << 16 | np.minimum(lengths, _LONG))
         self.used += total
 
+    def spans(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length of the ids of found runs."""
+        places, lengths = runs >> 16, runs & 0xFFFF
+        long = np.flatnonzero(lengths == _LONG)
+        lengths[long] = self.pool[places[long]]
+        places[long] += 1
+        return places, lengths
+
 
 class Encoder:
     """``byte_level``: pieces keep white space (the byte-level file); else it is dropped."""
@@ -175,9 +190,9 @@ class Encoder:
         symbols = codes if self.byte_level else self.lower[codes]
         odd = np.concatenate([[0], np.cumsum(kinds == _ODD)])
         runs = self._runs(span_hashes(symbols, starts, ends), starts, ends, joined, odd)
-        lengths = runs & 0xFFFF
+        found, lengths = self.table.spans(runs)
         before = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.repeat((runs >> 16) - before[:-1], lengths) + np.arange(before[-1])
+        places = np.repeat(found - before[:-1], lengths) + np.arange(before[-1])
         ids = self.table.pool[places]
         firsts = np.concatenate([[0], np.searchsorted(starts, edges)])
         offsets = before[firsts]

@@ -1,5 +1,8 @@
+import hashlib
 import random
+import zlib
 
+import brute
 import numpy as np
 import public_tokenizers
 import pytest
@@ -9,6 +12,7 @@ from conftest_texts import ODD
 from hingeworks.llm import chunk_bpe
 from hingeworks.llm.encoder import Encoder, PieceTable
 from hingeworks.llm.hash_table import HashTable
+from hingeworks.llm.queries import QUERIES
 
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 TOOLS = {name: Encoder(public_tokenizers.path(name), flag) for name, flag in FILES}
@@ -67,3 +71,40 @@ def test_any_cut_is_repaired(texts):
     finally:
         chunk_bpe.chunk_list = real
     assert [x.tolist() for x in ids] == library(TOOLS["byte_bpe_50k.json"], texts)
+
+
+LONG = "".join(chr(0x4E00 + n * 7919 % 20000) + "，" * (n % 12 == 0) for n in range(100_000))[:100_000]
+
+
+def test_a_piece_of_any_number_of_ids():
+    table, lengths = PieceTable(), [3, 65_534, 65_535, 65_536, 200_000, 1]
+    hashes = np.arange(1, len(lengths) + 1, dtype=np.uint64)
+    table.add(hashes, [[n] * length for n, length in enumerate(lengths)])
+    places, found = table.spans(table.find(hashes))
+    assert found.tolist() == lengths
+    for n, (a, length) in enumerate(zip(places, found)):
+        assert (table.pool[a:a + length] == n).all()
+    for tool in TOOLS.values():
+        texts = ["some words", LONG, "more words 漢字"]
+        got = tool.encode(texts)
+        assert len(got.of(1)) > 1 << 16
+        assert [got.of(i).tolist() for i in range(len(texts))] == library(tool, texts)
+
+
+def test_operators_keep_all_ids_of_a_long_unspaced_run(spark, make_folder):
+    texts = [LONG, "some words", LONG.replace("，", "")]
+    folder = make_folder([(n, t, None, "s", len(t), None, None) for n, t in enumerate(texts)])
+    byte, word = (library(TOOLS[name], texts) for name, _ in FILES)
+
+    def rows(name):
+        return QUERIES[name](spark, folder).collect()
+
+    assert {r.doc_id: r.ids_sha256 for r in rows("op1_chunk_bpe")} == {
+        n: hashlib.sha256(brute.id_bytes(ids)).hexdigest() for n, ids in enumerate(byte)}
+    pieces = {n: [[*ids, 1][a:a + 4096] for a in range(0, len(ids) + 1, 4096)] for n, ids in enumerate(word)}
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in rows("op6_vector_packing")} == {
+        (n, k): (len(x), zlib.crc32(brute.id_bytes(x))) for n, own in pieces.items() for k, x in enumerate(own)}
+    assert {r.tokenizer: r.n_tokens for r in rows("op7_token_rollups")} == {
+        name.removesuffix(".json"): sum(map(len, ids)) + len(texts) for (name, _), ids in zip(FILES, (byte, word))}
+    assert {r.doc_id: r.ids_crc32 for r in rows("op8_token_files")} == {
+        n: zlib.crc32(brute.id_bytes([*ids, 2])) for n, ids in enumerate(word)}
