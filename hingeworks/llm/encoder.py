@@ -189,11 +189,8 @@ class Encoder:
         starts, ends = starts[kept], ends[kept]
         symbols = codes if self.byte_level else self.lower[codes]
         odd = np.concatenate([[0], np.cumsum(kinds == _ODD)])
-        runs = self._runs(span_hashes(symbols, starts, ends), starts, ends, joined, odd)
-        found, lengths = self.table.spans(runs)
+        ids, lengths = self._taken(span_hashes(symbols, starts, ends), starts, ends, joined, odd)
         before = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.repeat(found - before[:-1], lengths) + np.arange(before[-1])
-        ids = self.table.pool[places]
         firsts = np.concatenate([[0], np.searchsorted(starts, edges)])
         offsets = before[firsts]
         pieces = None
@@ -207,17 +204,31 @@ class Encoder:
             ids, offsets = self._with_whole(texts, sorted(whole), ids, offsets)
         return Encoded(ids, offsets, pieces)
 
-    def _runs(self, hashes, starts, ends, joined, odd) -> np.ndarray:
+    def _taken(self, hashes, starts, ends, joined, odd) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
+        runs = self._runs(hashes, starts, ends, joined, odd)
+        if runs is None:  # slices of so few pieces that the table holds each
+            parts = [self._taken(*(x[a: a + MOST_PIECES] for x in (hashes, starts, ends)), joined, odd)
+                     for a in range(0, len(hashes), MOST_PIECES)]
+            ids, lengths = (np.concatenate(x) for x in zip(*parts))
+            return ids, lengths
+        found, lengths = self.table.spans(runs)
+        before = np.cumsum(lengths) - lengths
+        places = np.repeat(found - before, lengths) + np.arange(lengths.sum())
+        return self.table.pool[places], lengths
+
+    def _runs(self, hashes, starts, ends, joined, odd) -> np.ndarray | None:
+        """The table's entries for the pieces; None where it cannot hold them all at once."""
         runs = self.table.find(hashes)
         missing = np.flatnonzero(runs < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
             if self.table.held + len(new) > MOST_PIECES:
-                self.table.clear()
                 missing = np.arange(len(hashes))
                 new, first = np.unique(hashes, return_index=True)
-            if len(new) > MOST_PIECES:
-                raise ValueError("encode fewer texts at a time")
+                if len(new) > MOST_PIECES:
+                    return None
+                self.table.clear()
             at = missing[first]
             plain = odd[ends[at]] == odd[starts[at]]
             for few, make in ((plain, self._piece_ids), (~plain, self._library_ids)):

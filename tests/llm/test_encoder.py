@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from conftest_texts import ODD
-from hingeworks.llm import chunk_bpe
+from hingeworks.llm import chunk_bpe, encoder
 from hingeworks.llm.encoder import Encoder, PieceTable
 from hingeworks.llm.hash_table import HashTable
 from hingeworks.llm.queries import QUERIES
@@ -108,3 +108,19 @@ def test_operators_keep_all_ids_of_a_long_unspaced_run(spark, make_folder):
         name.removesuffix(".json"): sum(map(len, ids)) + len(texts) for (name, _), ids in zip(FILES, (byte, word))}
     assert {r.doc_id: r.ids_crc32 for r in rows("op8_token_files")} == {
         n: zlib.crc32(brute.id_bytes([*ids, 2])) for n, ids in enumerate(word)}
+
+
+def test_more_distinct_pieces_than_the_table_holds(monkeypatch):
+    monkeypatch.setattr(encoder, "MOST_PIECES", 50)
+    texts = ["few words", " ".join(f"{n} w{n} é{n}’s" for n in range(400)), "<|endoftext|>", "few words again", *ODD]
+    for name, flag in FILES:
+        tool = Encoder(public_tokenizers.path(name), flag)
+        for _ in range(2):
+            got = tool.encode(texts, with_pieces=True)
+            assert tool.table.held <= 50
+            assert [got.of(i).tolist() for i in range(len(texts))] == library(tool, texts)
+            for i, (places, before) in enumerate(got.pieces):
+                assert len(places) == len(before) and (np.diff(places) > 0).all()
+    tool = chunk_bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tool.tool = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    assert [x.tolist() for x in tool.encode(texts)] == library(TOOLS["byte_bpe_50k.json"], texts)
