@@ -15,6 +15,9 @@ from hingeworks.llm import near_dup, packing, quality, secrets, toxicity
 from hingeworks.llm.queries import WORD_BPE
 from hingeworks.llm.tables import table, written
 
+# Shingle sets from this similarity on are near copies.
+NEAR_PERCENT = 80
+
 
 def _own_column() -> str:
     """A name that no column of the input has."""
@@ -38,11 +41,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """The document with the smallest id of each group of near duplicates, from 0.8 similarity.
 
     Of several rows with that id all but one go; rows with a null id stay.
     """
-    found = near_dup.near_duplicates(docs)
+    found = near_dup.near_duplicates(docs, percent=NEAR_PERCENT)
     name = _own_column()
     kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
     known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi")

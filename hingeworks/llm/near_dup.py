@@ -12,9 +12,9 @@
    so no task emits all pairs.
 4. Connected components of the links give the result.
 
-A pair at the threshold of 0.85 shares no band with probability 4e-7, and its
-sketch lies beyond the estimate's margin of five standard deviations with less
-than 1e-5; every other step is exact.
+A pair at the threshold shares no band with probability 4e-7 at 0.85 and 5e-5 at
+0.80, and its sketch lies beyond the estimate's margin with less than 1e-6 at
+either; every other step is exact.
 
 Defined results: null and empty texts and texts of white space have an empty set
 and are linked with nothing. A text of fewer than five words has one shingle, its
@@ -36,11 +36,13 @@ from hingeworks.llm.tables import written
 from hingeworks.llm.text import Segment, give_back, heavy_state, mix, segments, windows, words
 
 SHINGLE = 5
+# The threshold of operator 5; the pipeline's stage has its own.
 PERCENT = 85
 BANDS, BAND_ROWS = 25, 5
 SKETCH_BITS = 512
-# Sketches of pairs below this similarity are passed over.
-MARGIN_SIMILARITY = 0.65
+# Standard deviations of one sample between the threshold and the similarity below
+# which sketches of pairs are passed over.
+MARGIN = 0.56
 BLOCK = 512
 SIGNATURE = ("struct<n_shingles: bigint, low: bigint, high: bigint, "
              "bands: array<bigint>, sketch: binary>")
@@ -106,6 +108,12 @@ def sketch_similarity(differing: np.ndarray, samples: int = BANDS * BAND_ROWS,
     return np.maximum(0.0, 1 + bits / (4 * samples) * np.log1p(-share))
 
 
+def margin_similarity(percent: int) -> float:
+    """Sketches of pairs below this similarity are passed over: 0.65 for 85 percent."""
+    share = percent / 100
+    return share - MARGIN * np.sqrt(share * (1 - share))
+
+
 def _signatures(column: pa.Array) -> pa.Array:
     parts: list[tuple] = []
     heavy_state("shingles", "none", dict)
@@ -165,21 +173,22 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def forest(sketches: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> Iterator[tuple[int, int]]:
+def forest(sketches: np.ndarray, sets: list[np.ndarray], sides: np.ndarray,
+           percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Confirmed links that join what pairs of these rows join.
 
     Rows of side 0 and 1 are two blocks of one group, and only pairs across are
     looked at; where all have one side, all pairs are.
     """
     sizes = np.array([len(s) for s in sets])
-    limit, rows = sketch_limit(MARGIN_SIMILARITY), len(sets)
+    limit, rows = sketch_limit(margin_similarity(percent)), len(sets)
     across = bool(sides.min() != sides.max())
     pairs = []
     for i in range(rows - 1):
         differing = np.bitwise_count(sketches[i + 1:] ^ sketches[i]).sum(axis=1)
         other = sizes[i + 1:]
         close = (differing <= limit) & (
-            100 * np.minimum(sizes[i], other) >= PERCENT * np.maximum(sizes[i], other))
+            100 * np.minimum(sizes[i], other) >= percent * np.maximum(sizes[i], other))
         if across:
             close &= sides[i + 1:] != sides[i]
         hit = np.flatnonzero(close)
@@ -198,27 +207,30 @@ def forest(sketches: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> I
 
     for i, j in zip(found[1].tolist(), found[2].tolist()):
         a, b = root(i), root(j)
-        if a != b and alike(sets[i], sets[j]):
+        if a != b and alike(sets[i], sets[j], percent):
             parent[b] = a
             yield i, j
 
 
-def _links(table: pa.Table) -> pa.Table:
-    group = table.column("part").to_numpy()
-    ids = table.column("id").to_numpy()
-    sides = table.column("side").to_numpy()
-    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-    order = np.lexsort((ids, group))
-    firsts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
-    left, right = [], []
-    for rows in np.split(order, firsts[1:]):
-        for i, j in forest(sketches[rows], [sets[r] for r in rows], sides[rows]):
-            left.append(ids[rows[i]])
-            right.append(ids[rows[j]])
-    del sketches, sets
-    give_back()
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+def _links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        group = table.column("part").to_numpy()
+        ids = table.column("id").to_numpy()
+        sides = table.column("side").to_numpy()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        order = np.lexsort((ids, group))
+        firsts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+        left, right = [], []
+        for rows in np.split(order, firsts[1:]):
+            for i, j in forest(sketches[rows], [sets[r] for r in rows], sides[rows], percent):
+                left.append(ids[rows[i]])
+                right.append(ids[rows[j]])
+        del sketches, sets
+        give_back()
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -249,8 +261,8 @@ def block_pairs(groups: DataFrame, block: int) -> DataFrame:
     return pairs.select("id", "part", cell.alias("cell"), side.cast("int").alias("side"))
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row."""
+def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of every row; links from ``percent`` similarity."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     signed = written(rows.select("doc_id", signatures(F.col("text")).alias("s")).select("doc_id", "s.*"),
@@ -268,7 +280,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     full = sets.join(sketches, "id").where(F.length("shingles") == 8 * F.col("n_shingles")).dropDuplicates(
         ["id", "shingles"])
     links = pairs.join(full.select("id", "sketch", "shingles"), "id").groupBy("cell").applyInArrow(
-        _links, "a long, b long")
+        _links(percent), "a long, b long")
     keys = ["low", "high", "n_shingles"]
     same = linked.select(*keys, "doc_id").join(classes.select(*keys, "id"), keys)
     # Classes of an id that comes with several texts are linked by it.

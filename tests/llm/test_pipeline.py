@@ -1,5 +1,7 @@
 import __spark_entry__ as entry_points
+import brute
 import corpus_pipeline
+import numpy as np
 
 from hingeworks.llm import near_dup
 from hingeworks.llm.tables import written
@@ -43,3 +45,37 @@ def test_empty_and_odd_tables(spark, empty_folder, odd_folder):
 def test_registered(spark):
     assert "pipeline" in entry_points.queries()
     assert sum(q.startswith("op") for q in entry_points.queries()) >= 10
+
+
+def near_copies_kept(texts, percent):
+    """Smallest ids of the groups of ``{id: text}``, by comparing all pairs."""
+    sets, name = {i: brute.shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                low, high = sorted((name[i], name[j]))
+                name = {k: low if v == high else v for k, v in name.items()}
+    return set(name.values())
+
+
+def test_near_copies_from_0_8_go(spark):
+    texts = {}
+    for n in range(30):  # similarity (180 - t) / (180 + t) for t other words: 0.8 for 20
+        own = [f"a{n}w{k}" for k in range(184)]
+        other = 5 + n
+        texts[10 * n] = " ".join(own)
+        texts[10 * n + 1] = " ".join(own[:184 - other] + [f"b{n}w{k}" for k in range(other)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == near_copies_kept(texts, 80)
+    found = near_dup.near_duplicates(docs).where("kept").collect()
+    assert {r.doc_id for r in found} == near_copies_kept(texts, 85)
+    assert len(found) > len(kept)
+
+
+def test_sketch_margin_follows_the_threshold():
+    sets = [np.arange(0, 180, dtype=np.uint64), np.arange(20, 200, dtype=np.uint64)]  # 0.8
+    sketches = np.zeros((2, 8), np.uint64)
+    sketches[1, 0], sketches[1, 1] = ~np.uint64(0), np.uint64((1 << 22) - 1)  # 86 bits: once in 10^6 pairs
+    assert list(near_dup.forest(sketches, sets, np.zeros(2), 80)) == [(0, 1)]
+    assert int(near_dup.sketch_limit(near_dup.margin_similarity(85))) == 74
