@@ -10,8 +10,9 @@ A fingerprint has one part for each of ``FAMILIES`` random orders of the terms a
 each rate 1/2 ... 1/2**RATES: the nested random subset of the lexicon at that rate.
 A part is the hash of the document's distinct terms in the subset, in sorted
 order, ``----`` where there are none and ``++++`` where there are more than
-``MOST_TERMS``, which any change would upset. So for texts of every length some
-rates hold a term or two. The likeness of two fingerprints is the share of equal
+``MOST_TERMS``, which any change would upset; the last rate is hashed whatever it
+holds. So up to some 10,000 terms some rates hold a term or two, and a text of more
+has parts that equal texts share and most changes upset. The likeness of two fingerprints is the share of equal
 parts among those that are a hash on either side.
 
 Defined results: a document with fewer than ``LEAST_TERMS`` terms of the band uses
@@ -135,7 +136,7 @@ def parts(segment: Segment, terms: np.ndarray) -> np.ndarray:
             counts = np.diff(np.append(firsts, len(own)))
             sums = mix(np.add.reduceat(mix(ranks), firsts)) >> np.uint64(48)
             out[own[firsts], family * RATES + rate - 1] = np.where(
-                counts > MOST_TERMS, COARSE, sums.astype(np.int64))
+                (counts > MOST_TERMS) & (rate < RATES), COARSE, sums.astype(np.int64))
     return out
 
 

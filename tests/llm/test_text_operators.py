@@ -229,3 +229,13 @@ def test_likeness_of_fingerprints():
     assert imatch.likeness(matrix, matrix).tolist() == [1.0, 1.0, 1.0]
     assert imatch.likeness(matrix[:1], matrix[1:2]).tolist() == [0.0]
     assert len(set(map(len, imatch.as_strings(matrix)))) == 1
+
+
+def test_texts_of_very_many_terms_differ():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghij"))
+    texts = [" ".join(map("".join, letters[rng.integers(0, 10, (70_000, 8))])) for _ in range(2)]
+    a, b, again = imatch.fingerprints([*texts, texts[0] + " "], np.zeros(0, np.uint64))
+    assert (a >= 0).any() and (b >= 0).any()
+    assert imatch.likeness(a[None], b[None])[0] == 0
+    assert imatch.likeness(a[None], again[None])[0] == 1
