@@ -5,12 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hingeworks.llm import backoff_lm, chunk_bpe, imatch, near_dup, packing, quality, rollups, secrets, token_files, toxicity
+from hingeworks.llm import (
+    backoff_lm, chunk_bpe, imatch, lexical_search, middle, near_dup, packing, quality, rollups, secrets, token_files,
+    toxicity, url_filter,
+)
+from hingeworks.llm.oracles import ORACLES
 from hingeworks.llm.text import id_remainder
 from hingeworks.llm.tables import fresh_path, table, written
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -118,3 +121,37 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = docs.select("doc_id", toxicity.toxicity(model, F.col("text")).alias("score"))
     return scored.select("doc_id", (id_remainder(F.col("doc_id")) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_shared_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# The rules of the query, as host, path and verdict.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Five rules, and a list of the canonical URLs that pages have under several addresses."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    address = url_filter.canonical(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    listed = pages.groupBy(address.alias("address")).agg(F.min("url").alias("low"), F.max("url").alias("high")).where(
+        "low != high and address != ''").select("address")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    stored = written(docs.select("doc_id", middle.store(F.col("text")).alias("stored")), "frames")
+    filled = stored.select("doc_id", middle.fill_in_middle(F.col("stored"), F.col("doc_id")).alias("filled"))
+    text = middle.restored(F.col("filled.output"), F.col("filled.form"))
+    return filled.select(
+        "doc_id", "filled.n", "filled.form", "filled.prefix_chars", "filled.middle_chars", "filled.output_sha256",
+        F.sha2(text, 256).alias("restored_sha256"))
