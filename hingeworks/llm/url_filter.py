@@ -18,8 +18,6 @@ List entries without a host, path or verdict are left out.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hingeworks.llm.tables import written
@@ -148,11 +146,9 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     verdicts = written(fits.groupBy("host", "path").agg(longest.alias("best")).select(
         "host", "path", "best.rule", "best.verdict"), "url_verdicts")
 
-    # One address may be that of a third of the pages: salted again.
+    # One address may be that of a third of the pages. There is a verdict for nearly every
+    # address, so pages and verdicts are merged; Spark splits the pages of a hot address.
     columns = [c for c in parts.columns if c not in ("host", "path")]
-    spread = f"__salt_{uuid.uuid4().hex}"
-    salt = F.pmod(F.xxhash64(F.col(url).cast("string"), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    judged = parts.withColumn(spread, salt).join(
-        _salted(verdicts).withColumnRenamed("salt", spread), ["host", "path", spread], "left")
+    judged = parts.join(verdicts.hint("merge"), ["host", "path"], "left")
     return judged.select(*(F.col(f"`{c}`") for c in columns), "host", "path", "rule",
                          F.coalesce("verdict", F.lit("allow")).alias("verdict"))
