@@ -46,15 +46,16 @@ def wide_trainings(spark: SparkSession, timed) -> None:
 
     indices = row_index(order_ids(spark, FOLDER)).select("idx")
     points = gaussian_classes(indices.repartition(32), WIDE_FEATURES, seed=1)
-    packed = []
-    timed("wide_pack", lambda: packed.append(pack_and_check(points)))
-    blocks = packed[0]
     start = np.zeros(WIDE_FEATURES)
     descent = Descent(WIDE_ITERATIONS, 0.01, pegasos_update)
-    for fraction in (1.0, 0.1, 0.01):
-        timed(f"wide_pegasos_batch_{fraction}",
-              lambda: descend(blocks, start, descent, [Setting(3.0, fraction)]))
-    blocks.release()
+    # The layout that a trainer packs for these fractions.
+    for name, by_row, fractions in (("wide_pack", False, (1.0,)), ("wide_pack_rows", True, (0.1, 0.01))):
+        packed = []
+        timed(name, lambda: packed.append(pack_and_check(points, by_row=by_row)))
+        for fraction in fractions:
+            timed(f"wide_pegasos_batch_{fraction}",
+                  lambda: descend(packed[0], start, descent, [Setting(3.0, fraction)]))
+        packed[0].release()
 
 
 def main() -> None:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from hingeworks.functions.keyed import key_hash, uniform_from_hash
+from hingeworks.functions.keyed import uniform
 from hingeworks.operators.blocks import (
     Block,
     partial_sums,
@@ -39,7 +39,8 @@ class BatchRule:
     """Which rows setting j uses in one iteration.
 
     A row is in when ``uniform(id, seed) < fraction`` and, for a setting on a
-    share of the data, ``uniform(id, share_seed) < share``.
+    share of the data, ``uniform(id, share_seed) < share``. The uniform numbers come
+    with the rows, one line for each of ``seeds``.
     """
 
     seed: int
@@ -47,16 +48,17 @@ class BatchRule:
     shares: tuple[float, ...] | None = None
     share_seed: int = 0
 
-    def mask(self, ids: np.ndarray) -> np.ndarray | None:
-        limited = min(self.fractions) < 1.0
-        if not limited and self.shares is None:
-            return None
-        hashed = key_hash(ids)
-        keep = np.ones((len(ids), len(self.fractions)), dtype=bool)
-        if limited:
-            keep &= uniform_from_hash(hashed, self.seed)[:, None] < np.array(self.fractions)
-        if self.shares is not None:
-            keep &= uniform_from_hash(hashed, self.share_seed)[:, None] < np.array(self.shares)
+    @property
+    def seeds(self) -> tuple[int, ...]:
+        limited = (self.seed,) if min(self.fractions) < 1.0 else ()
+        return limited if self.shares is None else (*limited, self.share_seed)
+
+    def mask(self, draws: np.ndarray) -> np.ndarray:
+        limits = [self.fractions] if min(self.fractions) < 1.0 else []
+        limits += [] if self.shares is None else [self.shares]
+        keep = np.ones((draws.shape[1], len(self.fractions)), dtype=bool)
+        for line, limit in zip(draws, limits):
+            keep &= line[:, None] < np.array(limit)
         return keep
 
 
@@ -74,8 +76,8 @@ def gradient_fold(weights: np.ndarray, bias: bool, rule: BatchRule | None,
 
     def fold(blocks):
         state = None
-        for ids, labels, cells in blocks:
-            keep = None if rule is None else rule.mask(ids)
+        for draws, labels, cells in blocks:
+            keep = None if rule is None else rule.mask(draws)
             if keep is not None:
                 used = keep.any(axis=1)
                 if not used.all():
@@ -108,9 +110,10 @@ def gradient_sums(points: DataFrame, weights: Sequence[float], intercept: float
     gradient is that of the hinge loss (minus the sum of y*x over violators).
     """
     w = np.array([*weights, *([] if intercept is None else [intercept])], dtype=float)
-    rule = None if fraction >= 1.0 else BatchRule(seed, (fraction,))
-    fold = gradient_fold(w, intercept is not None, rule)
+    fold = gradient_fold(w, intercept is not None, None)
     rows = point_rows(points)
+    if fraction < 1.0:
+        rows = rows.where(uniform(F.col("id"), seed) < F.lit(float(fraction)))
     total = sum_by_position(partial_sums(rows, fold, point_batches))
     sums = F.collect_list(F.struct("pos", "value"))
     # The vector is d + 2 long whatever the table holds.

@@ -12,7 +12,6 @@ from hingeworks.operators.blocks import (
     BLOCK_COLUMNS,
     BlockTable,
     add_up,
-    packed_batches,
     partial_sums,
     point_rows,
 )
@@ -53,7 +52,7 @@ def block_deviations(blocks: BlockTable) -> np.ndarray:
     Sums are those of the distances to one row, so far values lose no digits.
     """
     columns = blocks.frame.select(*BLOCK_COLUMNS)
-    (_, _, some), *_ = packed_batches(columns.limit(1).toArrow().to_batches())
+    (_, _, some), *_ = blocks.reader(columns.limit(1).toArrow().to_batches())
     centre, width = some[0].copy(), some.shape[1]
 
     def fold(parts):
@@ -64,7 +63,7 @@ def block_deviations(blocks: BlockTable) -> np.ndarray:
             state = own if state is None else state + own
         return state
 
-    total = add_up(partial_sums(columns, fold, packed_batches), blocks.partitions, 2 * width + 1)
+    total = add_up(partial_sums(columns, fold, blocks.reader), blocks.partitions, 2 * width + 1)
     rows, sums, squares = total[0], total[1: width + 1], total[width + 1:]
     return np.sqrt(np.maximum(squares - sums * sums / rows, 0.0) / max(1.0, rows - 1))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +22,12 @@ from hingeworks.operators.blocks import (
     BlockTable,
     add_up,
     extract_batches,
-    packed_batches,
+    in_row_layout,
     partial_sums,
+    pick_rows,
+    row_batches,
     small_transfers,
+    with_draws,
 )
 from hingeworks.operators.gradients import BatchRule, RowGradient, gradient_fold, hinge
 from hingeworks.operators.updates import Updater
@@ -32,9 +35,12 @@ from hingeworks.operators.updates import Updater
 log = logging.getLogger(__name__)
 
 SEED = 42
-# Below this fraction the batches of many iterations are extracted in one scan
-# instead of scanning the whole table in each.
-EXTRACT_BELOW = 0.15
+# Below this fraction Spark takes a batch's rows out of cached blocks in row layout, so
+# that only they go to Python.
+PICK_BELOW = 0.75
+# Below this one the batches of many iterations are taken out in one scan, as many as
+# together hold about this share of the table.
+EXTRACT_BELOW = 0.03
 EXTRACT_SHARE = 0.3
 MOST_PER_TASK = 16
 
@@ -72,8 +78,13 @@ def fold_tasks(partitions: int, share: float, slots: int) -> int:
     return min(partitions, max(slots * waves, -(-partitions // MOST_PER_TASK)))
 
 
+def wants_rows(settings: Sequence[Setting]) -> bool:
+    """Whether training these settings needs blocks in row layout."""
+    return max(s.fraction for s in settings) < PICK_BELOW
+
+
 class _Batches:
-    """Hands out the rows of each iteration, extracting ahead for small fractions."""
+    """Hands out the rows of each iteration: whole blocks, picked rows, or rows extracted ahead."""
 
     def __init__(self, blocks: BlockTable, descent: Descent, settings: Sequence[Setting]):
         self._blocks = blocks
@@ -82,44 +93,69 @@ class _Batches:
         self._largest = max(self._fractions)
         shares = tuple(s.share for s in settings)
         self._shares = shares if min(shares) < 1.0 else None
+        # Picked rows need no further choice where all settings take the same ones.
+        self._alike = min(self._fractions) == self._largest and self._shares is None
         self._extracted: DataFrame | None = None
         self._until = 0
         slots = blocks.spark.sparkContext.defaultParallelism
         share = self._largest if self._largest < EXTRACT_BELOW else 1.0
         self._tasks = fold_tasks(blocks.partitions, share, slots)
-        self._whole = self._fewer(blocks.frame.select(*BLOCK_COLUMNS))
+        # Blocks in the other layout are laid out anew once, not in every iteration.
+        self._laid_out: DataFrame | None = None
+        if wants_rows(settings) and not blocks.by_row:
+            self._laid_out = in_row_layout(blocks.frame).persist(StorageLevel.MEMORY_AND_DISK)
+        self._frame = blocks.frame if self._laid_out is None else self._laid_out
+        self._whole = self._fewer(self._frame)
 
     def _fewer(self, frame: DataFrame) -> DataFrame:
         return frame.coalesce(self._tasks) if self._tasks < self._blocks.partitions else frame
 
-    def at(self, iteration: int) -> tuple[DataFrame, BatchRule | None, int]:
-        """The blocks that hold the batch, which of their rows count, and the task number."""
+    def _rule(self, iteration: int) -> BatchRule:
         descent = self._descent
-        rule = BatchRule(descent.seed + iteration, self._fractions, self._shares,
-                         descent.share_seed)
+        return BatchRule(descent.seed + iteration, self._fractions, self._shares, descent.share_seed)
+
+    def at(self, iteration: int) -> tuple[DataFrame, Callable, BatchRule | None, int]:
+        """The rows that hold the batch, their reader, which of them count, and the task number."""
+        rule = self._rule(iteration)
+        if self._largest >= PICK_BELOW:
+            reader = self._blocks.reader
+            if not rule.seeds:
+                return self._whole.select(*BLOCK_COLUMNS), reader, None, self._tasks
+            return with_draws(self._whole, rule.seeds), reader, rule, self._tasks
+        own = None if self._alike else rule
         if self._largest >= EXTRACT_BELOW:
-            plain = min(self._fractions) >= 1.0 and self._shares is None
-            return self._whole, None if plain else rule, self._tasks
+            frame = pick_rows(self._whole, self._largest, rule.seed, () if self._alike else rule.seeds)
+            return frame, row_batches, own, self._tasks
         if iteration > self._until:
             self._extract(iteration)
-        frame = self._fewer(self._extracted.where(F.col("iter") == iteration))
-        alike = min(self._fractions) == self._largest and self._shares is None
-        return frame.select(*BLOCK_COLUMNS), None if alike else rule, self._tasks
+        return self._fewer(self._extracted.where(F.col("iter") == iteration)), row_batches, own, self._tasks
 
     def _extract(self, first: int) -> None:
-        self.release()
-        # As many iterations as together hold about this share of the table.
-        ahead = max(1, int(EXTRACT_SHARE / self._largest)) if self._largest > 0 else self._descent.iterations
+        self._release_extracted()
+        ahead = self._descent.iterations
+        if self._largest > 0:
+            ahead = max(1, round(EXTRACT_SHARE / self._largest))
         self._until = min(self._descent.iterations, first + ahead - 1)
+
+        def seeds(iteration):  # those of the iteration's rule, as columns
+            own = [F.lit(self._descent.seed) + iteration]
+            return own if self._shares is None else [*own, F.lit(self._descent.share_seed)]
+
         self._extracted = extract_batches(
-            self._blocks.frame, range(first, self._until + 1), self._largest, self._descent.seed
+            self._frame, range(first, self._until + 1), self._largest, self._descent.seed,
+            None if self._alike else seeds,
         ).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def release(self) -> None:
+    def _release_extracted(self) -> None:
         if self._extracted is not None:
             self._extracted.unpersist()
             self._extracted = None
 
+    def release(self) -> None:
+        self._release_extracted()
+        if self._laid_out is not None:
+            self._laid_out.unpersist()
+
 
 def descend(blocks: BlockTable, start: np.ndarray, descent: Descent,
             settings: Sequence[Setting] = (Setting(),),
@@ -153,10 +189,10 @@ def descend(blocks: BlockTable, start: np.ndarray, descent: Descent,
     try:
         with small_transfers(blocks.spark):
             for iteration in range(1, descent.iterations + 1):
-                frame, rule, tasks = batches.at(iteration)
+                frame, reader, rule, tasks = batches.at(iteration)
                 fold = gradient_fold(weights * scale[:, None], descent.bias, rule,
                                      descent.gradient)
-                state = add_up(partial_sums(frame, fold, packed_batches), tasks,
+                state = add_up(partial_sums(frame, fold, reader), tasks,
                                (len(weights) + 2) * count)
                 if state is None:
                     log.warning("iteration %d has an empty batch", iteration)

@@ -21,7 +21,7 @@ from hingeworks.operators.updates import (
     sqrt_update,
 )
 from hingeworks.operators.validate import require
-from hingeworks.plans.descent import SEED, Descent, Setting, descend
+from hingeworks.plans.descent import SEED, Descent, Setting, descend, wants_rows
 
 
 def split_weights(weights: np.ndarray, bias: bool) -> tuple[np.ndarray, float]:
@@ -48,7 +48,7 @@ def train_linear_pegasos(points: DataFrame, *, iterations: int = 100, reg: float
 
     Labels are mapped by ``2*label - 1`` without validation.
     """
-    blocks = pack_and_check(points, feature_map, storage)
+    blocks = pack_and_check(points, feature_map, storage, wants_rows([Setting(fraction=fraction)]))
     try:
         start = np.zeros(_width(blocks) + bias)
         descent = Descent(iterations, reg, linear_pegasos_update, bias=bias,
@@ -76,7 +76,7 @@ def train_with_rule(points: DataFrame, updater: Updater, *, iterations: int = 10
     """
     if validate:
         require(points, validators)
-    blocks = pack_and_check(points, feature_map, storage)
+    blocks = pack_and_check(points, feature_map, storage, wants_rows([Setting(fraction=fraction)]))
     try:
         if validate and blocks.bad_labels:
             raise ValueError(f"{blocks.bad_labels} labels are neither 0 nor 1")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from hingeworks.operators.blocks import pack_and_check
 from hingeworks.operators.updates import Updater, pegasos_update, sqrt_update
-from hingeworks.plans.descent import SEED, Descent, Setting, descend
+from hingeworks.plans.descent import SEED, Descent, Setting, descend, wants_rows
 
 # The published sweep settings; "svm" multiplies the steps by 30.
 STEPS = (1.0, 2.0, 3.0, 4.0, 5.0)
@@ -57,7 +57,7 @@ def sweep(points: DataFrame, trainer: str, dimension: str,
     Each iteration scans the data once for up to ``SETTINGS_PER_SCAN`` settings.
     """
     descent = Descent(iterations, reg, _trainer_rule(trainer), seed=seed)
-    blocks = pack_and_check(points, feature_map)
+    blocks = pack_and_check(points, feature_map, by_row=wants_rows([s for _, s in settings]))
     rows = []
     try:
         if blocks.bad_labels:
@@ -81,7 +81,7 @@ def timed_sweep(points: DataFrame, trainer: str, dimension: str,
                 reg: float = 0.01, seed: int = SEED, feature_map=None) -> DataFrame:
     """``(trainer, dimension, value, seconds)``, each setting trained on its own."""
     descent = Descent(iterations, reg, _trainer_rule(trainer), seed=seed)
-    blocks = pack_and_check(points, feature_map)
+    blocks = pack_and_check(points, feature_map, by_row=wants_rows([s for _, s in settings]))
     rows = []
     try:
         for value, setting in settings:

@@ -1,14 +1,19 @@
 """Rules that hold whatever the size: equal ids, far points, splits, wide vectors."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hingeworks.functions.kernels import GAUSSIAN
+from hingeworks.functions.keyed import uniform
 from hingeworks.models import KernelModel
 from hingeworks.operators import blocks, feature_maps, kernel_ops, predict as predict_module
 from hingeworks.operators.kernel_ops import kernel_scores
 from hingeworks.operators.predict import predict, predict_vector
+from hingeworks.operators.sampling import minibatch
 from hingeworks.plans import descent
 from hingeworks.plans.linear import train_pegasos
 from hingeworks.plans.sweep import step_settings, sweep
@@ -83,17 +88,67 @@ def test_wide_partial_vectors_move_in_chunks(spark):
     assert len(summed) == 5 and sum(len(r.state) for r in summed) == 20_000
 
 
-def test_batches_are_extracted_in_tiles(make_points, blob, monkeypatch):
-    packed = blocks.pack(make_points(zip(*blob), 2)).persist()
-    whole = blocks.extract_batches(packed, range(1, 60), 0.05, 42)
-    rows = sorted((r.iter, r.rows) for r in whole.groupBy("iter").agg(F.sum("rows").alias("rows")).collect())
-    monkeypatch.setattr(blocks, "DRAW_CELLS", 300)
-    tiled = blocks.extract_batches(packed, range(1, 60), 0.05, 42)
-    assert rows == sorted((r.iter, r.rows) for r in tiled.groupBy("iter").agg(F.sum("rows").alias("rows")).collect())
+def _batch(frame):
+    """Labels and features of a batch, in any order."""
+    rows = []
+    for draws, labels, cells in blocks.row_batches(frame.toArrow().to_batches()):
+        rows += [(y, *x) for y, x in zip(labels, cells)]
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("shift", [0.0, 2.0 ** -30])  # single and double precision
+def test_picked_and_extracted_rows_are_the_keyed_sample(spark, make_points, blob, shift):
+    ids, labels, cells = blob
+    cells = cells.astype(np.float32) + shift * (ids % 2)[:, None]
+    points = make_points(zip(ids, labels, cells), 3)
+    packed = blocks.pack(points, by_row=True).persist()
+    extracted = blocks.extract_batches(packed, range(3, 9), 0.2, 42)
+    for i in range(3, 9):
+        expected = sorted((r.label, *r.features) for r in minibatch(points, 0.2, i).collect())
+        assert expected and _batch(blocks.pick_rows(packed, 0.2, 42 + i)) == expected
+        assert _batch(extracted.where(F.col("iter") == i)) == expected
+    drawn = blocks.pick_rows(packed, 0.2, 45, (45, 0)).toArrow().to_batches()
+    draws = np.concatenate([d for d, _, _ in blocks.row_batches(drawn)], axis=1)
+    used = minibatch(points, 0.2, 3)
+    for line, seed in zip(draws, (45, 0)):
+        assert sorted(line) == sorted(r[0] for r in used.select(uniform(F.col("id"), seed)).collect())
     packed.unpersist()
     assert descent.EXTRACT_SHARE < 1
 
 
+def test_only_picked_rows_reach_python(make_points, blob):
+    packed = blocks.in_row_layout(blocks.pack(make_points(zip(*blob), 2))).persist()
+    table = blocks.pick_rows(packed, 0.1, 43).toArrow()
+    rows = sum(len(labels) for _, labels, _ in blocks.row_batches(table.to_batches()))
+    assert 5 < rows < 50
+    sent = sum(len(cells) for row in table.column("cells").to_pylist() for cells in row)
+    assert sent == rows * 5 * 8 and "ids" not in table.schema.names
+    packed.unpersist()
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 10, 150])
+def test_no_group_of_the_merge_tree_gets_over_two_roots_of_the_tasks(spark, tasks, monkeypatch):
+    partials = spark.range(0, tasks, 1, tasks).select(
+        F.lit(0).alias("chunk"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("state"))
+    row = blocks.add_chunks(partials).first()
+    assert list(row.state) == [tasks * (tasks - 1) / 2, tasks] and row.chunk == 0
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        seen = sum(b.num_rows for b in held)
+        for batch in blocks_add(held):
+            state = pa.array([[float(seen)]], pa.list_(pa.float64()))
+            columns = [state if n == "state" else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    blocks_add = blocks._add_group
+    group = F.floor(F.sqrt(F.spark_partition_id().cast("double"))).cast("int")
+    groups = partials.withColumn("group", group).select("chunk", "group", "state").groupBy("chunk", "group")
+    sizes = [r.state[0] for r in groups.applyInArrow(
+        counting, "chunk int, group int, state array<double>").collect()]
+    assert sum(sizes) == tasks and max(sizes) <= 2 * tasks ** 0.5 and len(sizes) <= tasks ** 0.5 + 1
+
+
 def test_feature_maps_work_in_every_trainer(make_points, blob):
     points = make_points(zip(*blob), 2)
     mapping = feature_maps.RandomFourierMap.seeded(5, 12, seed=1)

@@ -97,7 +97,6 @@ def test_partials_are_also_added_on_the_cluster(monkeypatch, make_points, blob):
 def test_blocks_smaller_than_a_batch_and_single_precision(monkeypatch, make_points, blob):
     ids, labels, cells = blob
     monkeypatch.setattr(block_ops, "BLOCK_BYTES", 7 * 40)
-    monkeypatch.setattr(block_ops, "EXTRACT_BYTES", 500)
     exact = cells.astype(np.float32).astype(float)
     for data in (exact, cells):
         for fraction in (1.0, 0.1):
