@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from hingeworks.llm.hash_table import HashTable
-from hingeworks.llm.text import heavy_state, span_hashes, worker_state
+from hingeworks.llm.text import heavy_state, span_checks, span_hashes, worker_state
 
 SLOTS = 1 << 21
 MOST_PIECES = 1 << 20
@@ -76,7 +76,8 @@ class PieceTable(HashTable):
     """From piece hash to a run of ids: ``place << 16 | length`` in the pool.
 
     A run of ``_LONG`` ids or more is marked by that length; the pool has its true
-    length at ``place`` and its ids after it.
+    length at ``place`` and its ids after it. The two numbers before ``place`` are the
+    piece's length and a check, which a hit is compared with.
     """
 
     def __init__(self):
@@ -87,19 +88,25 @@ class PieceTable(HashTable):
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]):
-        """Keep new distinct hashes."""
-        ids = [run if len(run) < _LONG else [len(run), *run] for run in ids]
+    def add(self, hashes: np.ndarray, ids: list[list[int]], sizes: np.ndarray, checks: np.ndarray):
+        """Keep new distinct hashes of pieces with these lengths and checks."""
+        marks = zip(sizes.tolist(), checks.tolist())
+        ids = [[*mark, *run] if len(run) < _LONG else [*mark, len(run), *run] for mark, run in zip(marks, ids)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         flat = np.fromiter((i for run in ids for i in run), np.uint32, total)
         self.pool[self.used: self.used + total] = flat
-        places = self.used + np.cumsum(lengths) - lengths
-        self.put(hashes, places << 16 | np.minimum(lengths, _LONG))
+        places = self.used + np.cumsum(lengths) - lengths + 2
+        self.put(hashes, places << 16 | np.minimum(lengths - 2, _LONG))
         self.used += total
 
+    def differing(self, runs: np.ndarray, sizes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Which of the found runs are those of another piece with the same hash."""
+        places = runs >> 16
+        return np.flatnonzero((self.pool[places - 2] != sizes) | (self.pool[places - 1] != checks))
+
     def spans(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and length of the ids of found runs."""
         places, lengths = runs >> 16, runs & 0xFFFF
@@ -168,7 +175,10 @@ class Encoder:
         """``with_pieces``: per text the characters and ids before each of its pieces."""
         if not texts:
             return Encoded(np.zeros(0, np.uint32), np.zeros(1, np.int64), [] if with_pieces else None)
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in SPECIAL)}
+        return self._encoded(texts, with_pieces, {i for i, t in enumerate(texts) if any(s in t for s in SPECIAL)})
+
+    def _encoded(self, texts: list[str], with_pieces: bool, whole: set[int]) -> Encoded:
+        """``whole``: texts that the library gets as they are."""
         while True:
             parts = ["" if i in whole else t for i, t in enumerate(texts)]
             joined = _SENTINEL.join(parts) + _SENTINEL
@@ -189,7 +199,10 @@ class Encoder:
         starts, ends = starts[kept], ends[kept]
         symbols = codes if self.byte_level else self.lower[codes]
         odd = np.concatenate([[0], np.cumsum(kinds == _ODD)])
-        ids, lengths = self._taken(span_hashes(symbols, starts, ends), starts, ends, joined, odd)
+        hashes, checks = (make(symbols, starts, ends) for make in (span_hashes, span_checks))
+        ids, lengths, clash = self._taken(hashes, checks, starts, ends, joined, odd)
+        if len(clash):  # different pieces with one hash
+            return self._encoded(texts, with_pieces, whole | set(np.searchsorted(edges, starts[clash]).tolist()))
         before = np.concatenate([[0], np.cumsum(lengths)])
         firsts = np.concatenate([[0], np.searchsorted(starts, edges)])
         offsets = before[firsts]
@@ -204,20 +217,23 @@ class Encoder:
             ids, offsets = self._with_whole(texts, sorted(whole), ids, offsets)
         return Encoded(ids, offsets, pieces)
 
-    def _taken(self, hashes, starts, ends, joined, odd) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after another, and how many each has."""
-        runs = self._runs(hashes, starts, ends, joined, odd)
+    def _taken(self, hashes, checks, starts, ends, joined, odd) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, how many each has, and pieces whose hash is another's."""
+        runs = self._runs(hashes, checks, starts, ends, joined, odd)
         if runs is None:  # slices of so few pieces that the table holds each
-            parts = [self._taken(*(x[a: a + MOST_PIECES] for x in (hashes, starts, ends)), joined, odd)
-                     for a in range(0, len(hashes), MOST_PIECES)]
-            ids, lengths = (np.concatenate(x) for x in zip(*parts))
-            return ids, lengths
+            cuts = range(0, len(hashes), MOST_PIECES)
+            parts = [self._taken(*(x[a: a + MOST_PIECES] for x in (hashes, checks, starts, ends)), joined, odd)
+                     for a in cuts]
+            ids, lengths, clash = zip(*parts)
+            return (np.concatenate(ids), np.concatenate(lengths),
+                    np.concatenate([a + own for a, own in zip(cuts, clash)]))
+        clash = self.table.differing(runs, ends - starts, checks)
         found, lengths = self.table.spans(runs)
         before = np.cumsum(lengths) - lengths
         places = np.repeat(found - before, lengths) + np.arange(lengths.sum())
-        return self.table.pool[places], lengths
+        return self.table.pool[places], lengths, clash
 
-    def _runs(self, hashes, starts, ends, joined, odd) -> np.ndarray | None:
+    def _runs(self, hashes, checks, starts, ends, joined, odd) -> np.ndarray | None:
         """The table's entries for the pieces; None where it cannot hold them all at once."""
         runs = self.table.find(hashes)
         missing = np.flatnonzero(runs < 0)
@@ -233,7 +249,8 @@ class Encoder:
             plain = odd[ends[at]] == odd[starts[at]]
             for few, make in ((plain, self._piece_ids), (~plain, self._library_ids)):
                 own = at[few]
-                self.table.add(new[few], make([joined[a:b] for a, b in zip(starts[own], ends[own])]))
+                self.table.add(new[few], make([joined[a:b] for a, b in zip(starts[own], ends[own])]),
+                               ends[own] - starts[own], checks[own])
             runs[missing] = self.table.find(hashes[missing])
         return runs
 

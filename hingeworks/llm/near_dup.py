@@ -114,6 +114,12 @@ def margin_similarity(percent: int) -> float:
     return share - MARGIN * np.sqrt(share * (1 - share))
 
 
+def set_names(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that name each nonempty set."""
+    return (mix(np.add.reduceat(mix(hashes), starts)),
+            mix(np.bitwise_xor.reduceat(mix(hashes + np.uint64(77)), starts)))
+
+
 def _signatures(column: pa.Array) -> pa.Array:
     parts: list[tuple] = []
     heavy_state("shingles", "none", dict)
@@ -126,8 +132,7 @@ def _signatures(column: pa.Array) -> pa.Array:
         sketch = np.zeros((len(sizes), SKETCH_BITS // 8), np.uint8)
         if len(full):
             starts = offsets[:-1][full]
-            low[full] = mix(np.add.reduceat(mix(hashes), starts))
-            high[full] = mix(np.bitwise_xor.reduceat(mix(hashes + np.uint64(77)), starts))
+            low[full], high[full] = set_names(hashes, starts)
             samples = _minhashes(hashes, starts)
             sketch[full] = odd_sketches(samples)
             keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(full), axis=1)
@@ -152,10 +157,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, segment in segments(batch.column("text")):
             hashes, offsets = shingle_sets(segment)
             view = memoryview(hashes).cast("B") if len(hashes) else memoryview(b"")
+            names = np.zeros((2, last - first), np.uint64)
+            full = np.flatnonzero(np.diff(offsets))
+            if len(full):
+                names[:, full] = set_names(hashes, offsets[:-1][full])
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(first, last - first),
+                batch.column("doc_id").slice(first, last - first), *(pa.array(n.view(np.int64)) for n in names),
                 pa.array([bytes(view[8 * a: 8 * b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-            ], names=["id", "shingles"])
+            ], names=["id", "low", "high", "shingles"])
 
 
 def signatures(text: Column) -> Column:
@@ -273,12 +282,13 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     classes = written(classes.select("low", "high", "n_shingles", "own.*"), "classes")
     groups = written(candidate_groups(classes), "groups")
     pairs = block_pairs(groups, block)
-    # Of an id with several texts, the one that stands for the class is found by its set.
+    # Of an id with several texts, each stands for the class of its set.
     texts = rows.join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-    sets = texts.select("doc_id", "text").mapInArrow(_full_sets, "id long, shingles binary")
-    sketches = classes.select("id", "n_shingles", "sketch")
-    full = sets.join(sketches, "id").where(F.length("shingles") == 8 * F.col("n_shingles")).dropDuplicates(
-        ["id", "shingles"])
+    sets = texts.select("doc_id", "text").mapInArrow(
+        _full_sets, "id long, low long, high long, shingles binary")
+    named = ["id", "low", "high"]
+    full = sets.join(classes.select(*named, "n_shingles", "sketch"), named).where(
+        F.length("shingles") == 8 * F.col("n_shingles")).dropDuplicates([*named, "n_shingles"])
     links = pairs.join(full.select("id", "sketch", "shingles"), "id").groupBy("cell").applyInArrow(
         _links(percent), "a long, b long")
     keys = ["low", "high", "n_shingles"]

@@ -10,7 +10,8 @@ Changes have ``op`` (``insert``, ``delete`` or ``revise``), ``source``, ``lang``
 in ``old_source`` and so on. Null sources and languages are groups of their own.
 A null count is 0 tokens. An unknown ``op`` is an error. Deletes may come before
 their inserts: totals are sums. Groups whose documents and tokens add up to 0
-are left out. An empty batch leaves an empty partition, that is nothing.
+are left out. A batch without changes is a batch of its own and replaces an earlier
+one of its number.
 """
 
 from __future__ import annotations
@@ -50,7 +51,10 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 def commit(changes: DataFrame, store: str, batch_id: int) -> None:
-    (deltas(changes).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+    # A row of zeros marks the batch, so that one without changes replaces what it had before.
+    mark = changes.sparkSession.range(1).select(
+        *(F.lit(None).cast("string").alias(k) for k in KEYS), *(F.lit(0).cast("long").alias(n) for n in ("n_docs", "n_tokens")))
+    (deltas(changes).unionByName(mark).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(store))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hingeworks.llm.hash_table import HashTable
-from hingeworks.llm.samples import labelled_sample
+from hingeworks.llm.samples import sampled, training_labels
 from hingeworks.llm.text import LETTER_BYTES, LOWER, heavy_state, segments, sums_by_document, words
 
 SAMPLE_ROWS = 6_000
@@ -224,9 +224,9 @@ def _from_counts(counted) -> ToxicityModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic") -> ToxicityModel:
-    """Models of the labelled documents whose crc32 remainder is not 0."""
-    classes = [labelled_sample(docs, labels.where(F.col(label) == value), label, rows, training=True)
-               for value in (0, 1)]
+    """Models of the labelled documents whose crc32 remainder is not 0; no other label is read."""
+    known = training_labels(labels, label).where(F.col("label").isin(0, 1))
+    classes = [sampled(docs, known.where(F.col("label") == value), rows) for value in (0, 1)]
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     sample = classes[0].union(classes[1]).withColumn("fold", fold)
     counted = sample.select("text", "label", "fold").mapInArrow(_count_grams(ORDER), NGRAMS).groupBy(
@@ -252,8 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: st
     y = table["label"].to_numpy(float)
     if len(set(y)) < 2:
         return model
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()
-    share = {int(r[label]): r["count"] for r in known}
+    share = dict(known.groupBy("label").count().collect())
     weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
     x = features(table["sum"].to_numpy(float), table["size"].to_numpy(float))
     model.logistic = fit_logistic(x, y, weight / weight.mean())

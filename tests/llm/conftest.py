@@ -11,6 +11,16 @@ ODD_TEXTS = [
     "PassWord: hunter22, api_key='x' apikey=\"zzzzzzzz\" é secret : aB3dE5fG7hI9jK1lM3nO5pQ7",
 ]
 
+ODD_ITEMS = [(50, None, ""), (51, "", ""), (52, "!?", ""), (53, "the The THE the in", ""), (53, "the The THE the in", ""),
+             (53, "an re", ""), (None, "on at er", "")]
+ODD_URLS = [
+    "http://a.com/x?b#c", "https://WWW.Example.COM/en/7", "http://example.com/en/", "http://sub.example.com/en/a",
+    None, "", "no scheme", "://", "http://", "http://net/es/", "ftp://x.net/es/y/", "x.net://q.net/fr/1?u=http://com/",
+    "http://x.net:443/fr/1", "http://xcom/", "http://com", "http://a..com/", "http://.com/", "http://exa\nmple.com/e\n?",
+    "http://a.org/p", "https://A.org:443/p/", "http://b.org/q?1", "http://b.org/q?2", "http://b.org/q?2", "http://c.org/q#1",
+    "http://www.example.com/EN/1", "http://user@net/fr/", "http://" + "a." * 300 + "net/es/" + "x/" * 500, "http://ÄB.com/ü",
+]
+
 
 def make_words(rng, count):
     return ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(count)]
@@ -48,6 +58,12 @@ def make_folder(spark, tmp_path_factory):
         spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(
             f"{folder}/labels.parquet")
+        items = [(n, r[1], "clash") for n, r in enumerate(rows[20:30])] + ODD_ITEMS if rows else []
+        spark.createDataFrame(items, "item_id long, text string, score string").write.parquet(
+            f"{folder}/benchmark.parquet")
+        pages = list(enumerate(ODD_URLS)) + [(None, ODD_URLS[3]), (0, ODD_URLS[0])] if rows else []
+        spark.createDataFrame([(i, u, "h", "p") for i, u in pages], "page_id long, url string, host string, rule string"
+                              ).repartition(3).write.parquet(f"{folder}/pages.parquet")
         return str(folder)
 
     return make

@@ -15,7 +15,7 @@ from hingeworks.llm.queries import QUERIES
 BYTE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 WORD = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 # Queries with one row per document.
-PER_DOCUMENT = [q for q in QUERIES if not q.startswith(("op6", "op7"))]
+PER_DOCUMENT = [q for q in QUERIES if not q.startswith(("op6", "op7", "op11", "op12"))]
 
 
 def ids_of(tool, text):
