@@ -43,13 +43,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, from 0.8 similarity.
 
-    Of several rows with that id all but one go; rows with a null id stay.
+    Of several rows with that id one stays, that with the smallest text (nulls last); of
+    equal texts the smallest hash of the row decides. Rows with a null id stay.
     """
     found = near_dup.near_duplicates(docs, percent=NEAR_PERCENT)
     name = _own_column()
     kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
     known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col("text").isNull(), F.col("text").cast("string"), F.xxhash64(
+        *(F.coalesce(c.cast("string"), F.lit("\u0000")) for c in columns)))
+    first = known.groupBy(F.col("doc_id").alias(name)).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return first.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
