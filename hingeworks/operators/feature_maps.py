@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.functions.kernels import Kernel, kernel_named
 from hingeworks.functions.keyed import normal_array, uniform_array
-from hingeworks.operators.kernel_ops import anchor_limit, collect_anchors, kernel_rows, kernel_udf, vector_udf
+from hingeworks.operators.kernel_ops import collect_anchors, kernel_row_table, vector_udf
+from hingeworks.operators.parts import broadcast_parts
 from hingeworks.operators.sampling import landmarks as sample_landmarks
 from hingeworks.sources.scratch import written
 
 # Singular values below this share of the largest count as zero.
 SINGULAR_FLOOR = 1e-12
+# Landmarks and their square matrix; the decomposition takes about three times as much.
+MAP_BYTES = 1 << 30
 
 
 def feature_width(points: DataFrame) -> int:
@@ -59,7 +62,8 @@ class NystromMap:
     """``[K(s_1, x) .. K(s_m, x)] N`` with N the inverse square root of the Gram matrix.
 
     The fit is dense algebra on one m x m matrix on the driver, so m is a choice
-    of the caller that does not grow with the table.
+    of the caller that does not grow with the table: landmarks and matrix together
+    have at most ``MAP_BYTES`` (11,000 landmarks of 1,000 features), more are refused.
     """
 
     landmarks: np.ndarray
@@ -69,12 +73,16 @@ class NystromMap:
     @classmethod
     def fit(cls, points: DataFrame, landmarks: int = 30, kernel: str | Kernel = "gaussian",
             seed: int = 0) -> NystromMap:
-        kernel = kernel_named(kernel)
-        chosen = collect_anchors(sample_landmarks(points, landmarks, seed), landmarks)
-        gram = kernel.block(chosen.cells, chosen.cells)
-        u, s, vt = np.linalg.svd(gram)
-        kept = s > SINGULAR_FLOOR * s[0]
-        return cls(chosen.cells, (u[:, kept] / np.sqrt(s[kept])) @ vt[kept], kernel)
+        kernel, width = kernel_named(kernel), feature_width(points)
+        if 8 * landmarks * (landmarks + width) > MAP_BYTES:
+            raise ValueError(f"{landmarks} landmarks of {width} features exceed {MAP_BYTES} bytes")
+        chosen = collect_anchors(sample_landmarks(points, landmarks, seed), MAP_BYTES + 16 * landmarks)
+        # Symmetric, so singular values are the eigenvalues' sizes.
+        values, vectors = np.linalg.eigh(kernel.block(chosen.cells, chosen.cells))
+        sizes = np.abs(values)
+        kept = sizes > SINGULAR_FLOOR * sizes.max()
+        root = np.sign(values[kept]) / np.sqrt(sizes[kept])
+        return cls(chosen.cells, (vectors[:, kept] * root) @ vectors[:, kept].T, kernel)
 
     def block(self, cells: np.ndarray) -> np.ndarray:
         return self.kernel.block(cells, self.landmarks) @ self.normalization
@@ -85,17 +93,6 @@ class NystromMap:
 
 def gram(points: DataFrame, size: int, kernel: str | Kernel, seed: int = 0) -> DataFrame:
     """``(id, kernel_row)`` of a landmark sample against itself, in ascending anchor id."""
-    chosen = sample_landmarks(points, size, seed)
-    limit = anchor_limit(feature_width(points) + 2)
-    if size <= limit:
-        return kernel_rows(chosen, collect_anchors(chosen, size), kernel_named(kernel))
-    # Too many for one task: ranges of ids in turn, each adding its part of the rows.
-    chosen = written(chosen, "landmarks")
-    bounds = [row["id"] for row in chosen.select("id").orderBy("id").collect()][::limit]
-    rows = chosen.select("id", "label", "features", F.array().cast("array<double>").alias("kernel_row"))
-    for low, high in zip(bounds, [*bounds[1:], None]):
-        own = chosen.where(F.col("id") >= low)
-        own = own if high is None else own.where(F.col("id") < high)
-        more = kernel_udf(collect_anchors(own, limit), kernel_named(kernel))(F.col("features"))
-        rows = written(rows.withColumn("kernel_row", F.concat("kernel_row", more)), "gram")
-    return rows.select("id", "kernel_row")
+    # Written once: the sample is both sides.
+    chosen = written(sample_landmarks(points, size, seed).select("id", "label", "features"), "landmarks")
+    return kernel_row_table(chosen, broadcast_parts(chosen), kernel)

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hingeworks.functions.vectors import append_bias, linear_score, threshold_label
 from hingeworks.models import KernelModel, LinearModel
-from hingeworks.operators.kernel_ops import anchor_limit, collect_anchors, score_udf
-from hingeworks.sources.scratch import written
-
-_SUM = "__kernel_sum"
+from hingeworks.operators.kernel_ops import weighted_sum_udf
+from hingeworks.operators.parts import broadcast_parts
 
 
 def predict(points: DataFrame, model: LinearModel | KernelModel,
@@ -23,41 +21,16 @@ def predict(points: DataFrame, model: LinearModel | KernelModel,
     return _predict_kernel(points, model, output)
 
 
-def _kernel_sum(model: KernelModel, support: DataFrame, limit: int) -> Column:
-    """Weighted kernel sum against one part of the support rows, known to be bounded."""
-    weighted = support.select("id", (F.col("y") * F.col("alpha")).alias("label"), "features")
-    anchors, block = collect_anchors(weighted, limit), model.kernel.block
-    features = F.col("features").cast("array<double>")
-    if len(anchors.ids) == 0:
-        return F.lit(0.0)
-    return score_udf(lambda x: block(x, anchors.cells) @ anchors.labels)(
-        append_bias(features) if model.biased else features
-    )
-
-
 def _predict_kernel(points: DataFrame, model: KernelModel, output: str) -> DataFrame:
-    rows, width = model.size or model.support.agg(
-        F.count(F.lit(1)), F.coalesce(F.max(F.size("features")), F.lit(0))
-    ).first()
-    limit = anchor_limit(width + 2)
-
-    def finish(total: Column) -> Column:
-        score = total / F.lit(float(model.scale)) + F.lit(float(model.intercept))
-        return threshold_label(score, model.threshold)
-
-    if rows <= limit:
-        return points.withColumn(output, finish(_kernel_sum(model, model.support, limit)))
-
-    # Too many support rows for one task: the points pass by one part of them after
-    # the other, and each row carries its sum. Only one part is held at a time, and
-    # rows are never matched by id, so equal ids keep their own scores.
-    parts = -(-rows * 2 // limit)
-    part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    summed = points.withColumn(_SUM, F.lit(0.0))
-    for p in range(parts):
-        more = _kernel_sum(model, model.support.where(part == p), limit)
-        summed = written(summed.withColumn(_SUM, F.col(_SUM) + more), "kernel_sums")
-    return summed.withColumn(output, finish(F.col(_SUM))).drop(_SUM)
+    """The points are read once and written never, however many support rows there are."""
+    weighted = model.support.select("id", (F.col("y") * F.col("alpha")).alias("label"), "features")
+    parts = broadcast_parts(weighted)
+    features = F.col("features").cast("array<double>")
+    total = F.lit(0.0)
+    if parts.held.rows:
+        total = weighted_sum_udf(parts, model.kernel)(append_bias(features) if model.biased else features)
+    score = total / F.lit(float(model.scale)) + F.lit(float(model.intercept))
+    return points.withColumn(output, threshold_label(score, model.threshold))
 
 
 def predict_vector(spark: SparkSession, model: LinearModel | KernelModel,

@@ -14,43 +14,39 @@ from pyspark.sql import DataFrame, functions as F
 from hingeworks.functions.kernels import Kernel, kernel_named
 from hingeworks.functions.vectors import append_bias
 from hingeworks.models import KernelModel
-from hingeworks.operators.kernel_ops import (
-    Anchors,
-    anchor_limit,
-    collect_anchors,
-    kernel_rows,
-    support_vectors,
-)
+from hingeworks.operators.kernel_ops import kernel_row_table, support_vectors
 from hingeworks.operators.ordering import short_table
+from hingeworks.operators.parts import PointParts, broadcast_parts
 from hingeworks.operators.sampling import SEED, draws
 from hingeworks.operators.updates import require_reg
-from hingeworks.sources.scratch import written
+from hingeworks.sources.scratch import fresh_path, written
 
 # The driver holds at most about this much of the kernel matrix at a time.
 GRAM_BYTES = 64 * 1024 * 1024
 
 
-def _parts(items: list[int], size: int) -> list[list[int]]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
-
-
-def _kernel_among(drawn: DataFrame, wanted: list[int], anchors: list[Anchors],
-                  kernel: Kernel) -> dict[int, np.ndarray]:
-    """Kernel values of the wanted ids against all anchors, row by row."""
-    names = drawn.sparkSession.createDataFrame([(i,) for i in wanted], "id long")
-    chosen = drawn.join(short_table(names, len(wanted)), "id")
-    found: dict[int, list[np.ndarray]] = {i: [] for i in wanted}
-    for part in anchors:
-        table = kernel_rows(chosen, part, kernel).toArrow().combine_chunks()
-        values = table.column("kernel_row").combine_chunks().flatten().to_numpy()
-        for i, row in zip(table.column("id").to_pylist(), values.reshape(table.num_rows, -1)):
-            found[i].append(row)
-    return {i: np.concatenate(rows) for i, rows in found.items()}
+def _bands(drawn: DataFrame, order: list[int], parts: PointParts, kernel: Kernel, block: int) -> str:
+    """A folder with the kernel rows that each block of iterations needs, one band a block."""
+    spark = drawn.sparkSession
+    pairs = sorted({(i // block, drawn_id) for i, drawn_id in enumerate(order)})
+    # At most one short row per iteration.
+    wanted = short_table(spark.createDataFrame(pairs, "band int, id long"), len(pairs))
+    rows = drawn.join(wanted, "id").select("band", "id", "features")
+    # Features are dealt by band, so that a band is a file or few; kernel rows are not moved.
+    count = pairs[-1][0] + 1
+    rows = rows.repartition(count, "band") if count > 1 else rows
+    path = fresh_path(spark, "kernel_bands")
+    kernel_row_table(rows, parts, kernel, ("band", "id")).write.partitionBy("band").parquet(path)
+    return path
 
 
 def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
                    kernel: str | Kernel, seed: int = SEED) -> tuple[DataFrame, dict[int, int]]:
-    """The drawn rows, and ``id -> number of violations`` after the given number of draws."""
+    """The drawn rows, and ``id -> number of violations`` after the given number of draws.
+
+    The driver holds one number an iteration and one band of the kernel matrix of the
+    drawn rows, never the rows.
+    """
     require_reg(reg)
     kernel = kernel_named(kernel)
     # One (iteration, id) pair per iteration.
@@ -66,23 +62,23 @@ def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
         .repartition(spark.sparkContext.defaultParallelism, "id"),
         "drawn",
     )
-    width = drawn.agg(F.max(F.size("features"))).first()[0]
-    anchors = [
-        collect_anchors(drawn.where(F.col("id").between(part[0], part[-1])), len(part))
-        for part in _parts(distinct, anchor_limit(width + 2))
-    ]
-    place = {int(i): j for j, i in enumerate(np.concatenate([a.ids for a in anchors]))}
-    sign = np.concatenate([a.labels for a in anchors]) * 2.0 - 1.0
-    alpha = np.zeros(len(distinct))
-    block = max(1, GRAM_BYTES // (8 * len(distinct)))
+    parts = broadcast_parts(drawn)
+    by_id = np.argsort(parts.ids, kind="stable")  # the order of a kernel row
+    place = {int(i): j for j, i in enumerate(parts.ids[by_id])}
+    sign = parts.labels[by_id] * 2.0 - 1.0
+    alpha = np.zeros(len(sign))
+    block = max(1, GRAM_BYTES // (8 * len(sign)))
+    path = _bands(drawn, order, parts, kernel, block)
+    bands = spark.read.schema("id long, kernel_row array<double>, band int").parquet(path)
     for start in range(0, iterations, block):
-        ids = order[start : start + block]
-        rows = _kernel_among(drawn, sorted(set(ids)), anchors, kernel)
-        for iteration, i in enumerate(ids, start + 1):
+        band = bands.where(F.col("band") == start // block).toArrow().combine_chunks()
+        rows = band.column("kernel_row").combine_chunks().flatten().to_numpy().reshape(band.num_rows, -1)
+        row_of = {i: row for i, row in zip(band.column("id").to_pylist(), rows)}
+        for iteration, i in enumerate(order[start: start + block], start + 1):
             own = place[i]
             terms = sign * alpha
             terms[own] = 0.0
-            score = sign[own] * (terms @ rows[i]) / (reg * iteration)
+            score = sign[own] * (terms @ row_of[i]) / (reg * iteration)
             if score < 1.0:
                 alpha[own] += 1.0
     return drawn, {i: int(alpha[j]) for i, j in place.items() if alpha[j] > 0}

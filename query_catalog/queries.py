@@ -544,7 +544,7 @@ def kernel_gaussian_lineitem(spark, folder):
     points = lineitem_points(spark, folder)
     near = points.withColumn("features", F.transform("features", lambda v: v / F.lit(50.0)))
     chosen = sampling.landmarks(near, 5, seed=5)
-    rows = kernel_rows(near, collect_anchors(chosen, 5), GAUSSIAN)
+    rows = kernel_rows(near, collect_anchors(chosen), GAUSSIAN)
     return cells(rows.select(F.col("id"), F.col("kernel_row")), "id", column="kernel_row")
 
 

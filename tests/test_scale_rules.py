@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hingeworks.functions.kernels import GAUSSIAN
 from hingeworks.functions.keyed import uniform
 from hingeworks.models import KernelModel
-from hingeworks.operators import blocks, feature_maps, kernel_ops, predict as predict_module
+from hingeworks.operators import blocks, feature_maps, kernel_ops, parts as part_ops
 from hingeworks.operators.kernel_ops import kernel_scores
 from hingeworks.operators.predict import predict, predict_vector
 from hingeworks.operators.sampling import minibatch
@@ -28,26 +28,81 @@ def support(make_points, blob):
                          F.lit(1.0).alias("alpha"))
 
 
-def test_equal_ids_keep_their_own_kernel_scores(make_points, blob, support, monkeypatch):
+@pytest.fixture
+def small_parts(monkeypatch):
+    """Bounds under which thirty rows of five features are many parts and slices."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3 * 40)
+    monkeypatch.setattr(part_ops, "PART_BYTES", 7 * 40)
+    monkeypatch.setattr(part_ops, "VALUE_BYTES", 8 * 6 * 4)
+    monkeypatch.setattr(kernel_ops, "HELD_BYTES", 11 * 40)
+
+
+def counted(points):
+    """The same points, and a counter of the rows that are read of them."""
+    seen = points.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return points.mapInArrow(count, points.schema), seen
+
+
+def test_equal_ids_keep_their_own_kernel_scores(make_points, blob, support, small_parts):
     points = make_points([(7, 1.0, x) for x in blob[2][:9]], 3)
     model = KernelModel(support, GAUSSIAN, 3.0, False).without_threshold()
-    whole = sorted(r.s for r in predict(points, model, "s").collect())
-    monkeypatch.setattr(predict_module, "anchor_limit", lambda width: 8)
-    parts = predict(points, model, "s")
-    assert parts.columns == [*points.columns, "s"]
-    assert sorted(r.s for r in parts.collect()) == pytest.approx(whole, abs=1e-12)
+    rows = support.collect()
+    cells, factors = np.array([r.features for r in rows]), np.array([r.y * r.alpha for r in rows])
+    expected = sorted(GAUSSIAN.block(blob[2][:9], cells) @ factors / 3.0)
+    assert len(part_ops.broadcast_parts(support.withColumnRenamed("y", "label")).held.parts) > 4
+    scored = predict(points, model, "s")
+    assert scored.columns == [*points.columns, "s"]
+    assert sorted(r.s for r in scored.collect()) == pytest.approx(expected, abs=1e-12)
     assert predict_vector(points.sparkSession, model, blob[2][0]) == pytest.approx(
         predict(points.where(F.col("features")[0] == float(blob[2][0][0])), model, "s").first().s)
+    none = KernelModel(support.limit(0), GAUSSIAN, 3.0, False, intercept=0.25).without_threshold()
+    assert {r.s for r in predict(points, none, "s").collect()} == {0.25}
+
 
+def test_points_are_read_once_whatever_the_parts(make_points, blob, support, small_parts):
+    points, seen = counted(make_points(zip(*blob), 3))
+    model = KernelModel(support, GAUSSIAN, 3.0, True).without_threshold()
+    assert len(predict(points, model.__class__(support, GAUSSIAN, 3.0).without_threshold(), "s").collect()) == 200
+    assert seen.value == 200
+    weighted, seen = counted(support.select("id", "y", "features", "alpha"))
+    scores = kernel_scores(weighted, make_points(zip(*blob), 3), GAUSSIAN).collect()
+    assert len(scores) == 200 and seen.value == 30
 
-def test_many_targets_and_landmarks_go_in_parts(make_points, blob, support, monkeypatch):
+
+def test_many_targets_and_landmarks_go_in_parts(make_points, blob, support, small_parts):
+    ids, labels, cells = blob
+    values = GAUSSIAN.block(cells, cells)
+    own = values.copy()
+    np.fill_diagonal(own, 0.0)
+    expected = dict(zip(ids.tolist(), (labels[:30] * 2 - 1) @ own[:30]))
     points = make_points(zip(*blob), 3)
-    whole = {r.id: r.score for r in kernel_scores(support, points, GAUSSIAN).collect()}
-    monkeypatch.setattr(kernel_ops, "ANCHOR_BYTES", 4096)
-    assert {r.id: r.score for r in kernel_scores(support, points, GAUSSIAN).collect()} == pytest.approx(whole)
+    assert {r.id: r.score for r in kernel_scores(support, points, GAUSSIAN).collect()} == pytest.approx(expected)
     rows = {r.id: r.kernel_row for r in feature_maps.gram(points, 200, GAUSSIAN).collect()}
-    np.testing.assert_allclose(np.array([rows[i] for i in sorted(rows)]),
-                               GAUSSIAN.block(blob[2], blob[2]), atol=1e-12)
+    np.testing.assert_allclose(np.array([rows[i] for i in sorted(rows)]), values, atol=1e-12)
+
+
+def test_targets_of_one_id_are_never_refused(make_points, blob, support, small_parts):
+    points = make_points([(7, 1.0, x) for x in blob[2][:90]], 3)
+    scores = sorted(r.score for r in kernel_scores(support.where("id <> 7"), points, GAUSSIAN).collect())
+    rows = support.where("id <> 7").collect()
+    expected = GAUSSIAN.block(blob[2][:90], np.array([r.features for r in rows])) @ np.array([r.y for r in rows])
+    assert scores == pytest.approx(sorted(expected))
+
+
+def test_nystrom_bound_and_root(make_points, blob, monkeypatch):
+    points = make_points(zip(*blob), 3)
+    fitted = feature_maps.NystromMap.fit(points, 40)
+    gram = GAUSSIAN.block(fitted.landmarks, fitted.landmarks)
+    np.testing.assert_allclose(fitted.normalization @ gram @ fitted.normalization, np.eye(40), atol=1e-6)
+    monkeypatch.setattr(feature_maps, "MAP_BYTES", 8 * 40 * 44)
+    with pytest.raises(ValueError, match="exceed"):
+        feature_maps.NystromMap.fit(points, 40)
 
 
 @pytest.mark.parametrize("size", [1.0, 1e5, 1e6, 1e8])

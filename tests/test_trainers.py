@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hingeworks.functions.kernels import kernel_named
 from hingeworks.functions.keyed import uniform_array
-from hingeworks.operators import blocks as block_ops
+from hingeworks.operators import blocks as block_ops, parts as parts_ops
 from hingeworks.operators.predict import predict
 from hingeworks.operators.sampling import draw_positions
 from hingeworks.plans import descent, kernel as kernel_plan, linear, sweep
@@ -200,11 +200,11 @@ def kernel_loop(blob, iterations, kernel, biased):
 @pytest.mark.parametrize("kernel,biased", [("linear", True), ("gaussian", False),
                                            ("polynomial", True)])
 def test_kernel_pegasos(monkeypatch, blob_points, blob, kernel, biased):
-    # Small bounds: several row blocks, several anchor parts, several score branches.
+    # Small bounds: several bands of the kernel matrix, several parts, several slices of rows.
     monkeypatch.setattr(kernel_plan, "GRAM_BYTES", 8 * 60 * 25)
-    from hingeworks.operators import kernel_ops
-
-    monkeypatch.setattr(kernel_ops, "ANCHOR_BYTES", 8 * 8 * 30)
+    monkeypatch.setattr(block_ops, "BLOCK_BYTES", 8 * 5 * 4)
+    monkeypatch.setattr(parts_ops, "PART_BYTES", 8 * 8 * 10)
+    monkeypatch.setattr(parts_ops, "VALUE_BYTES", 8 * 10 * 7)
     model = kernel_plan.train_kernel_pegasos(blob_points, iterations=80, reg=REG, kernel=kernel,
                                              biased=biased).without_threshold()
     alpha, scores = kernel_loop(blob, 80, kernel, biased)
