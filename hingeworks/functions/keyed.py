@@ -1,25 +1,18 @@
 """Random numbers computed from a key and a seed.
 
 The value depends only on ``(key, seed)``: it is the same under any
-partitioning and after a lost executor is recomputed. Both forms below return
-the same bits; the Column form stays inside generated JVM code, the array form
-serves the vectorised tasks.
+partitioning and after a lost executor is recomputed. Numbers are made by Spark
+expressions alone; the array functions evaluate them for keys that the driver holds.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, functions as F
-
-# The public 64-bit xxHash primes and Spark's default hash seed.
-_P1 = np.uint64(0x9E3779B185EBCA87)
-_P2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_P3 = np.uint64(0x165667B19E3779F9)
-_P4 = np.uint64(0x85EBCA77C2B2AE63)
-_P5 = np.uint64(0x27D4EB2F165667C5)
-_SPARK_HASH_SEED = 42
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession, functions as F
 
 _UNIT = 2.0**-53
 
@@ -41,37 +34,20 @@ def normal(key: Column, seed: int | Column) -> Column:
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(k + F.lit(1).cast("long"), seed))
 
 
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-
-def _hash_long(values: np.ndarray, seed) -> np.ndarray:
-    h = np.asarray(seed, dtype=np.uint64) + _P5 + np.uint64(8)
-    h = h ^ (_rotl(values * _P2, 31) * _P1)
-    h = _rotl(h, 27) * _P1 + _P4
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
-
-def key_hash(keys: np.ndarray) -> np.ndarray:
-    """First hash stage of the keys; reusable across many seeds."""
-    with np.errstate(over="ignore"):
-        bits = np.atleast_1d(np.asarray(keys, dtype=np.int64)).view(np.uint64)
-        return _hash_long(bits, np.uint64(_SPARK_HASH_SEED))
-
-
-def uniform_from_hash(hashed: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        s = np.atleast_1d(np.asarray(seed, dtype=np.int64)).view(np.uint64)
-        return (_hash_long(s, hashed) >> np.uint64(11)).astype(np.float64) * _UNIT
+def _evaluated(keys, seed, make: Callable[[Column, Column], Column]) -> np.ndarray:
+    """The numbers of short arrays of keys and of seeds, made by the active session."""
+    keys, seeds = np.broadcast_arrays(np.atleast_1d(np.asarray(keys, np.int64)), np.asarray(seed, np.int64))
+    table = pa.table({"at": np.arange(keys.size), "key": keys.ravel(), "seed": seeds.ravel()})
+    made = SparkSession.active().createDataFrame(table).select(
+        "at", make(F.col("key"), F.col("seed")).alias("value")).toArrow()
+    found = np.empty(keys.size)
+    found[made.column("at").to_numpy()] = made.column("value").to_numpy()
+    return found.reshape(keys.shape)
 
 
-def uniform_array(keys: np.ndarray, seed: int) -> np.ndarray:
-    return uniform_from_hash(key_hash(keys), seed)
+def uniform_array(keys, seed) -> np.ndarray:
+    return _evaluated(keys, seed, uniform)
 
 
-def normal_array(keys: np.ndarray, seed: int) -> np.ndarray:
-    k = np.asarray(keys, dtype=np.int64) * 2
-    radius = np.sqrt(-2.0 * np.log(1.0 - uniform_array(k, seed)))
-    return radius * np.cos(2.0 * math.pi * uniform_array(k + 1, seed))
+def normal_array(keys, seed) -> np.ndarray:
+    return _evaluated(keys, seed, normal)

@@ -73,10 +73,11 @@ class NystromMap:
     @classmethod
     def fit(cls, points: DataFrame, landmarks: int = 30, kernel: str | Kernel = "gaussian",
             seed: int = 0) -> NystromMap:
-        kernel, width = kernel_named(kernel), feature_width(points)
-        if 8 * landmarks * (landmarks + width) > MAP_BYTES:
-            raise ValueError(f"{landmarks} landmarks of {width} features exceed {MAP_BYTES} bytes")
-        chosen = collect_anchors(sample_landmarks(points, landmarks, seed), MAP_BYTES + 16 * landmarks)
+        kernel = kernel_named(kernel)
+        chosen = collect_anchors(sample_landmarks(points, landmarks, seed), MAP_BYTES)
+        rows, width = chosen.cells.shape
+        if 8 * rows * (rows + width) > MAP_BYTES:
+            raise ValueError(f"{rows} landmarks of {width} features exceed {MAP_BYTES} bytes")
         # Symmetric, so singular values are the eigenvalues' sizes.
         values, vectors = np.linalg.eigh(kernel.block(chosen.cells, chosen.cells))
         sizes = np.abs(values)

@@ -63,16 +63,13 @@ def _starts_and_rows(cut: DataFrame) -> tuple[list[np.ndarray], int]:
 
 
 def running_sums(frame: DataFrame, key: str, sums: dict[str, str],
-                 buckets: int | None = None, ungrouped: DataFrame | None = None) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Add ``name = inclusive running sum of column`` in ascending ``key`` order.
 
-    ``key`` must be unique, so that no bucket can be filled by one value. Where
-    ``frame`` sums up an ``ungrouped`` table of the same columns per key, the
-    buckets and their totals are taken from that, without grouping it again.
+    ``key`` must be unique, so that no bucket can be filled by one value.
     """
-    source = frame if ungrouped is None else ungrouped
-    splits = _splits(source, key, buckets)
-    starts = _starts(_bucketed(source, key, splits), [F.col(c) for c in sums.values()])
+    splits = _splits(frame, key, buckets)
+    starts = _starts(_bucketed(frame, key, splits), [F.col(c) for c in sums.values()])
     cut = _bucketed(frame, key, splits)
     ordered = Window.partitionBy(_BUCKET).orderBy(key).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -106,9 +103,12 @@ def rows_at(frame: DataFrame, positions: Sequence[int] | Callable[[int], Sequenc
     (start,), rows = _starts_and_rows(cut)
     positions = positions(rows) if callable(positions) else positions
     touched = np.unique(np.searchsorted(start, np.asarray(positions), side="right") - 1)
-    wanted = cut.where(F.col(_BUCKET).isin([int(b) for b in touched]))
+    spark = frame.sparkSession
+    held = spark.createDataFrame([(int(b),) for b in touched], f"{_BUCKET} int")
+    # One number a bucket.
+    wanted = cut.join(short_table(held, len(touched)), _BUCKET, "left_semi")
     indexed = _indexed(wanted, key, name, start).drop(_KEY, _BUCKET)
-    places = frame.sparkSession.createDataFrame([(int(p),) for p in positions], f"{name} long")
+    places = spark.createDataFrame([(int(p),) for p in positions], f"{name} long")
     return indexed.join(short_table(places, len(positions)), name, "left_semi")
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from hingeworks.functions.keyed import uniform, uniform_array
 from hingeworks.operators.ordering import rows_at, short_table
 
 SEED = 42
+# Buckets of the key range that draws are looked up in, however many draws there are.
+MOST_BUCKETS = 2048
 
 
 def minibatch(points: DataFrame, fraction: float, iteration: int, seed: int = SEED) -> DataFrame:
@@ -38,7 +41,8 @@ def random_split(points: DataFrame, weights: Sequence[float] = (0.6, 0.4),
 
 def draw_positions(rows: int, iterations: int, seed: int = SEED) -> list[int]:
     """The row position, from 0, drawn in each iteration, from 1."""
-    return [int(uniform_array([i], seed + i)[0] * rows) for i in range(1, iterations + 1)]
+    numbers = np.arange(1, iterations + 1)
+    return (uniform_array(numbers, seed + numbers) * rows).astype(np.int64).tolist()
 
 
 def draws(points: DataFrame, iterations: int, seed: int = SEED) -> DataFrame:
@@ -52,8 +56,8 @@ def draws(points: DataFrame, iterations: int, seed: int = SEED) -> DataFrame:
         chosen.extend(draw_positions(rows, iterations, seed))
         return sorted(set(chosen))
 
-    # More buckets than draws, so that most of the table is never ordered.
-    found = rows_at(points.select("id"), positions, buckets=max(64, 4 * iterations))
+    # More buckets than a few draws, so that most of the table is never ordered.
+    found = rows_at(points.select("id"), positions, buckets=min(MOST_BUCKETS, max(64, 4 * iterations)))
     # One short row per iteration.
     table = spark.createDataFrame(list(enumerate(chosen, 1)), "iter int, idx long")
     return found.join(short_table(table, iterations), "idx").select("iter", "idx", "id")

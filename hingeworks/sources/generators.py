@@ -8,16 +8,9 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hingeworks.functions.keyed import normal, normal_array, uniform
-
-POINT_SCHEMA = "id long, label double, features array<double>"
-# Cells handed over at a time, and cells made at a time (within the core's cache).
-_BATCH_CELLS = 128 * 1024
-_CELLS = 8 * 1024
+from hingeworks.functions.keyed import normal, uniform
 
 
 def ordinals(spark: SparkSession, rows: int, partitions: int | None = None) -> DataFrame:
@@ -26,27 +19,11 @@ def ordinals(spark: SparkSession, rows: int, partitions: int | None = None) -> D
 
 def gaussian_classes(indices: DataFrame, width: int, seed: int = 0) -> DataFrame:
     """Alternating classes, 1.0 ~ N(+1, 1) and 0.0 ~ N(-1, 1), in ``width`` dimensions."""
-
-    def task(batches):
-        rows, step = max(1, _BATCH_CELLS // width), max(1, _CELLS // width)
-        for batch in batches:
-            index = batch.column("idx").to_numpy()
-            for start in range(0, len(index), rows):
-                k = index[start : start + rows]
-                label = 1.0 - (k % 2)
-                cells = np.empty((len(k), width))
-                for at in range(0, len(k), step):
-                    part = slice(at, at + step)
-                    keys = k[part, None] * width + np.arange(width)
-                    cells[part] = normal_array(keys, seed) + (label[part, None] * 2.0 - 1.0)
-                ends = pa.array(np.arange(0, cells.size + 1, width, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(label),
-                     pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))],
-                    names=["id", "label", "features"],
-                )
-
-    return indices.select(F.col("idx").cast("long").alias("idx")).mapInArrow(task, POINT_SCHEMA)
+    idx = F.col("idx").cast("long")
+    label = F.lit(1.0) - F.pmod(idx, F.lit(2))
+    axes = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
+    cells = F.transform(axes, lambda axis: normal(idx * width + axis, seed) + (label * 2.0 - 1.0))
+    return indices.select(idx.alias("id"), label.cast("double").alias("label"), cells.alias("features"))
 
 
 class _Draw:

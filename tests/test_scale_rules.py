@@ -13,6 +13,8 @@ from hingeworks.models import KernelModel
 from hingeworks.operators import blocks, feature_maps, kernel_ops, parts as part_ops
 from hingeworks.operators.kernel_ops import kernel_scores
 from hingeworks.operators.predict import predict, predict_vector
+from hingeworks.operators import sampling
+from hingeworks.operators.metrics import auroc
 from hingeworks.operators.sampling import minibatch
 from hingeworks.plans import descent
 from hingeworks.plans.linear import train_pegasos
@@ -129,6 +131,55 @@ def test_text_ids_do_not_depend_on_splits(spark, tmp_path):
     assert found[0] == found[1] and len(found[0]) == 5000
 
 
+def test_text_ids_without_a_shuffle_of_lines(spark, tmp_path):
+    """One line is half of a file; there are several files, an empty one and a folder of splits."""
+    hot, folder = "1.0 0.5 0.5", tmp_path / "t"
+    folder.mkdir()
+    texts = {"a.txt": [hot if i % 2 else f"0.0 {i} 0.25" for i in range(4000)], "b.txt": [], "c.txt": [hot, "0.0 7 8"]}
+    for name, lines in texts.items():
+        (folder / name).write_text("".join(line + "\n" for line in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        read = read_labeled_text(spark, str(folder))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Window" not in plan
+        rows = {r.id: (r.label, *r.features) for r in read.collect()}
+        assert read.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    expected = {n: tuple(map(float, line.split())) for n, line in enumerate(texts["a.txt"])}
+    # An empty file has no split and takes no number.
+    expected |= {(1 << 40) + n: tuple(map(float, line.split())) for n, line in enumerate(texts["c.txt"])}
+    assert rows == expected
+
+
+def test_files_split_otherwise_fail(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("".join(f"1.0 {i} 2\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = read_labeled_text(spark, str(tmp_path / "t.txt"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        with pytest.raises(Exception, match="split otherwise"):
+            read.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_draws_use_a_bounded_number_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MOST_BUCKETS", 8)
+    rows = sampling.draws(spark.range(0, 9000, 3), 2500).orderBy("iter").collect()
+    assert [r.idx for r in rows] == sampling.draw_positions(3000, 2500)
+    assert all(r.id == 3 * r.idx for r in rows)
+
+
+def test_auroc_reads_its_input_once(spark):
+    scored = spark.range(0, 600, 1, 3).selectExpr("cast(id % 7 as double) as score", "cast(id % 2 as double) as label")
+    frame, seen = counted(scored)
+    assert auroc(frame).first()[0] == pytest.approx(auroc(scored).first()[0])
+    assert seen.value == 600
+
+
 def test_wide_partial_vectors_move_in_chunks(spark):
     ids = spark.range(100).repartition(100)
 
