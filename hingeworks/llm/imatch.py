@@ -1,19 +1,18 @@
 """I-Match fingerprints over a band of inverse document frequency (operator 9).
 
 The lexicon holds the terms (letter runs, A-Z in lower case) whose share of
-documents lies in a band. Its lower end is raised where needed so that the
-lexicon has ``LEXICON_MOST`` terms at most: as many terms as ``mean distinct terms
-per document / share`` can reach a share of documents, so the bound holds for any
-corpus, and the lexicon may be broadcast.
-
-A fingerprint has one part for each of ``FAMILIES`` random orders of the terms and
-each rate 1/2 ... 1/2**RATES: the nested random subset of the lexicon at that rate.
-A part is the hash of the document's distinct terms in the subset, in sorted
-order, ``----`` where there are none and ``++++`` where there are more than
-``MOST_TERMS``, which any change would upset; the last rate is hashed whatever it
-holds. So up to some 10,000 terms some rates hold a term or two, and a text of more
-has parts that equal texts share and most changes upset. The likeness of two fingerprints is the share of equal
-parts among those that are a hash on either side.
+documents lies in a band. A term in at least a thousandth of the documents is one of
+at most a thousand times as many as a document has on average, whatever the
+number of documents; the lexicon goes to the tasks in sorted pieces of at most
+``PIECE_TERMS`` terms, so a large one is looked up piece by piece.
+
+A fingerprint has one 64-bit hash of the document's distinct terms in the whole
+lexicon, in sorted order, and one for each randomised subset of it: ``FAMILIES``
+subsets at each rate 1/2 ... 1/2**RATES. All terms that a subset keeps are hashed;
+16 dashes stand for none. A hash is that of another document only if no term of its
+subset differs, so low rates stand changes that high rates do not. The likeness of two
+fingerprints is the share of equal hashes among the subsets that keep a term of either.
+Texts of very many terms lose all hashes by a change of a third.
 
 Defined results: a document with fewer than ``LEAST_TERMS`` terms of the band uses
 all its terms. A null or empty text has no terms; two such fingerprints are
@@ -29,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from hingeworks.llm.ngram_blocks import REQUESTS, bucket_bounds, bucket_totals, squeeze, squeeze_sorted
 from hingeworks.llm.text import LETTER_BYTES, Segment, mix, segments, words
 
 LOWEST_SHARE, HIGHEST_SHARE = 0.001, 0.2
-LEXICON_MOST = 500_000
-LEAST_TERMS, MOST_TERMS = 4, 2
-FAMILIES, RATES = 12, 12
+PIECE_TERMS = 8 << 20
+LEAST_TERMS = 4
+FAMILIES, RATES = 3, 8
+SUBSETS = 1 + FAMILIES * RATES
 COUNT_BYTES = 8 << 20
-EMPTY, COARSE = -1, -2
+RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
+EMPTY = np.uint64(0)
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
           "edited_fingerprint string, near_edited double, near_next double")
 
@@ -54,7 +55,7 @@ def distinct_terms(segment: Segment) -> tuple[np.ndarray, np.ndarray]:
     return hashes[fresh], owners[fresh]
 
 
-def _document_counts(buckets: int, size: int):
+def _document_counts(size: int):
     """Terms and their document counts, for every ``size`` bytes of text."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -62,16 +63,9 @@ def _document_counts(buckets: int, size: int):
         seen = 0
 
         def rows() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            bounds = bucket_bounds(keys, buckets)
-            parts = [(b, s, e) for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])) if e > s]
-            return pa.RecordBatch.from_arrays([
-                pa.array([b for b, _, _ in parts], pa.int64()), pa.array([0] * len(parts), pa.int32()),
-                pa.array([0] * len(parts), pa.int64()),
-                pa.array([int(e - s) for _, s, e in parts], pa.int32()),
-                pa.array([squeeze_sorted(keys[s:e]) for _, s, e in parts], pa.binary()),
-                pa.array([squeeze(counts[s:e].astype(np.uint32)) for _, s, e in parts], pa.binary()),
-            ], names=["bucket", "kind", "block", "size", "keys", "counts"])
+            terms, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], names=["term", "n"])
 
         for batch in batches:
             for _, _, segment in segments(batch.column("text")):
@@ -86,80 +80,94 @@ def _document_counts(buckets: int, size: int):
     return run
 
 
-def _in_band(low: float, high: float):
-    def run(table: pa.Table) -> pa.Table:
-        terms = [keys[(totals >= low) & (totals <= high)] for _, _, keys, totals, _ in bucket_totals(table)]
-        return pa.table({"term": pa.array(np.concatenate(terms).view(np.int64))})
+def band(docs: DataFrame, lowest: float = LOWEST_SHARE, highest: float = HIGHEST_SHARE) -> DataFrame:
+    """``(term)``: hashes of the terms in the band; counts cover all documents."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    documents = texts.count()
+    counted = texts.mapInArrow(_document_counts(COUNT_BYTES), "term long, n long").groupBy("term").agg(
+        F.sum("n").alias("n"))
+    return counted.where(F.col("n").between(max(lowest * documents, 1.0), highest * documents)).select("term")
 
-    return run
 
+Lexicon = list[Broadcast]
 
-def lexicon(docs: DataFrame, lowest: float = LOWEST_SHARE, highest: float = HIGHEST_SHARE,
-            most: int = LEXICON_MOST) -> np.ndarray:
-    """Sorted hashes of the band's terms; counts cover all documents."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    documents = texts.count()
-    if documents == 0:
-        return np.zeros(0, np.uint64)
-    counted = texts.mapInArrow(_document_counts(buckets, COUNT_BYTES), REQUESTS)
-    # Any term in more than ``lowest`` of the documents, then the proven bound.
-    mean = texts.select(F.avg(F.length("text")).alias("m")).first()["m"] or 0.0
-    # A document of n characters has n / 2 + 1 distinct terms at most.
-    share = max(lowest, (mean / 2 + 1) / most)
-    found = counted.groupBy("bucket").applyInArrow(
-        _in_band(max(share * documents, 1.0), highest * documents), "term long")
-    return np.sort(np.array([r["term"] for r in found.collect()], np.int64).view(np.uint64))
-
-
-def parts(segment: Segment, terms: np.ndarray) -> np.ndarray:
-    """One row per document: its parts as numbers, EMPTY or COARSE."""
-    hashes, owners = distinct_terms(segment)
+
+def lexicon(docs: DataFrame, lowest: float = LOWEST_SHARE, highest: float = HIGHEST_SHARE) -> Lexicon:
+    """The band's terms in sorted pieces; the driver holds one piece at a time."""
+    pieces, held = [], []
+
+    def hand_over():
+        terms = np.sort(np.array(held, np.int64).view(np.uint64))
+        pieces.append(docs.sparkSession.sparkContext.broadcast(terms))
+        held.clear()
+
+    for row in band(docs, lowest, highest).toLocalIterator():
+        held.append(row["term"])
+        if len(held) >= PIECE_TERMS:
+            hand_over()
+    hand_over()
+    return pieces
+
+
+def in_lexicon(hashes: np.ndarray, pieces: list) -> np.ndarray:
     inside = np.zeros(len(hashes), bool)
-    if len(terms):
-        places = np.searchsorted(terms, hashes)
-        places[places == len(terms)] = 0
-        inside = terms[places] == hashes
+    for piece in pieces:
+        terms = piece.value
+        if len(terms):
+            places = np.searchsorted(terms, hashes)
+            places[places == len(terms)] = 0
+            inside |= terms[places] == hashes
+        if len(pieces) > 1:
+            vars(piece).pop("_value", None)  # a worker keeps what it has read of a broadcast
+    return inside
+
+
+def in_subset(hashes: np.ndarray, subset: int) -> np.ndarray:
+    """Which terms a randomised subset of the lexicon keeps; subset 0 is all of it."""
+    if subset == 0:
+        return np.ones(len(hashes), bool)
+    rate = 1 + (subset - 1) % RATES
+    return mix(hashes ^ mix(np.array([subset], np.uint64))) < np.uint64(1 << (64 - rate))
+
+
+def parts(segment: Segment, pieces: list) -> np.ndarray:
+    """One row per document: the hash of its sorted terms in each subset, or EMPTY."""
+    hashes, owners = distinct_terms(segment)
+    inside = in_lexicon(hashes, pieces)
     few = np.bincount(owners[inside], minlength=segment.documents) < LEAST_TERMS
     kept = inside | few[owners]
     hashes, owners = hashes[kept], owners[kept]
-    out = np.full((segment.documents, FAMILIES * RATES), EMPTY, np.int32)
-    for family in range(FAMILIES):
-        ranks, own = mix(hashes ^ mix(np.array([family + 1], np.uint64))), owners
-        for rate in range(1, RATES + 1):
-            chosen = ranks < np.uint64(1 << (64 - rate))
-            ranks, own = ranks[chosen], own[chosen]
-            if len(own) == 0:
-                break
-            firsts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            counts = np.diff(np.append(firsts, len(own)))
-            sums = mix(np.add.reduceat(mix(ranks), firsts)) >> np.uint64(48)
-            out[own[firsts], family * RATES + rate - 1] = np.where(
-                (counts > MOST_TERMS) & (rate < RATES), COARSE, sums.astype(np.int64))
+    out = np.full((segment.documents, SUBSETS), EMPTY)
+    for subset in range(SUBSETS):
+        chosen = in_subset(hashes, subset)
+        terms, own = hashes[chosen], owners[chosen]
+        if len(own) == 0:
+            continue
+        firsts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        counts = np.diff(np.append(firsts, len(own)))
+        place = np.arange(len(own)) - np.repeat(firsts, counts)  # in the document's sorted terms
+        sums = mix(np.add.reduceat(mix(terms ^ mix(place.astype(np.uint64) + np.uint64(1))), firsts))
+        out[own[firsts], subset] = np.maximum(sums, np.uint64(1))
     return out
 
 
-def fingerprints(texts: list[str], terms: np.ndarray) -> np.ndarray:
-    found = [parts(segment, terms) for _, _, segment in segments(pa.array(texts, pa.string()))]
-    return np.concatenate(found) if found else np.zeros((0, FAMILIES * RATES), np.int32)
+def fingerprints(texts: list[str], pieces: list) -> np.ndarray:
+    found = [parts(segment, pieces) for _, _, segment in segments(pa.array(texts, pa.string()))]
+    return np.concatenate(found) if found else np.zeros((0, SUBSETS), np.uint64)
 
 
 def as_strings(matrix: np.ndarray) -> list[str]:
-    table = np.array([b"++++", b"----", *(b"%04x" % n for n in range(1 << 16))], dtype="S4")
-    return [row.tobytes().decode() for row in table[matrix - COARSE]]
+    return [":".join(f"{n:016x}" if n else "-" * 16 for n in row) for row in matrix.tolist()]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row: equal hashes among the parts that are a hash on one side and not coarse on the other."""
-    hashed = (np.maximum(a, b) >= 0) & (np.minimum(a, b) != COARSE)
-    equal = (a == b) & (a >= 0)
-    total = hashed.sum(axis=1)
-    same = (a == b).all(axis=1)
-    return np.where(total > 0, equal.sum(axis=1) / np.maximum(total, 1), same.astype(float))
+    """Row by row: the share of equal hashes among the subsets that keep a term on either side."""
+    either = (a != EMPTY) | (b != EMPTY)
+    total = either.sum(axis=1)
+    return np.where(total > 0, (either & (a == b)).sum(axis=1) / np.maximum(total, 1), 1.0)
 
 
-def _compare(terms):
+def _compare(pieces: Lexicon):
     """Rows come by bucket and descending id; a bucket ends with a guest, its last row's successor."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -167,7 +175,7 @@ def _compare(terms):
         for batch in batches:
             ids, guests = batch.column("doc_id").to_pylist(), batch.column("guest").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            matrix = fingerprints(texts, terms.value)
+            matrix = fingerprints(texts, pieces)
             if held:
                 ids, guests, texts = [held[0], *ids], [held[1], *guests], [held[2], *texts]
                 matrix = np.concatenate([held[3], matrix])
@@ -177,7 +185,7 @@ def _compare(terms):
                 for i in own:
                     gone = len(texts[i]) // 3
                     edited.append(texts[i][: len(texts[i]) - gone] + texts[i + 1][:gone])
-                changed = fingerprints(edited, terms.value)
+                changed = fingerprints(edited, pieces)
                 rows = np.array(own)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[i] for i in own], pa.int64()),
@@ -193,7 +201,7 @@ def _compare(terms):
     return run
 
 
-def compare_with_edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def compare_with_edits(docs: DataFrame, terms: Lexicon) -> DataFrame:
     """Every row's fingerprint, that of its edited text, and their likeness.
 
     The edited text has its last third replaced by the beginning of the next row's
@@ -203,7 +211,9 @@ def compare_with_edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # By bytes; a range's rows stream through its task, however many they are.
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ranges = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)))
     bounds = np.unique(np.array(rows.select("doc_id").approxQuantile(
         "doc_id", [n / ranges for n in range(1, ranges)], 0.2 / ranges) if ranges > 1 else [], float))
 
@@ -224,7 +234,6 @@ def compare_with_edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                         & (F.col("tie") == F.col("head_tie")))
     both = dealt.select("doc_id", "text", "tie", "bucket", F.lit(False).alias("guest")).union(
         guests.select("doc_id", "text", "tie", F.col("target").alias("bucket"), F.lit(True).alias("guest")))
-    ordered = both.repartition(ranges, "bucket").sortWithinPartitions(
+    ordered = both.repartitionByRange(len(heads) or 1, "bucket").sortWithinPartitions(
         "bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
-    shared = spark.sparkContext.broadcast(terms)
-    return ordered.select("doc_id", "text", "guest").mapInArrow(_compare(shared), RESULT)
+    return ordered.select("doc_id", "text", "guest").mapInArrow(_compare(terms), RESULT)

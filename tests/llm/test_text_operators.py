@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -16,6 +18,7 @@ from hingeworks.llm import (
 )
 from hingeworks.llm.ngram_blocks import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from hingeworks.llm.queries import WORD_BPE
+from hingeworks.llm.text import LETTER_BYTES, segments, words
 
 
 def test_entropy_spans_and_allow_list():
@@ -225,7 +228,7 @@ def test_squeezed_arrays():
 
 def test_likeness_of_fingerprints():
     texts = ["alpha beta gamma delta epsilon zeta eta theta", "", None or ""]
-    matrix = imatch.fingerprints(texts, np.zeros(0, np.uint64))
+    matrix = imatch.fingerprints(texts, [])
     assert imatch.likeness(matrix, matrix).tolist() == [1.0, 1.0, 1.0]
     assert imatch.likeness(matrix[:1], matrix[1:2]).tolist() == [0.0]
     assert len(set(map(len, imatch.as_strings(matrix)))) == 1
@@ -235,7 +238,42 @@ def test_texts_of_very_many_terms_differ():
     rng = np.random.default_rng(5)
     letters = np.array(list("abcdefghij"))
     texts = [" ".join(map("".join, letters[rng.integers(0, 10, (70_000, 8))])) for _ in range(2)]
-    a, b, again = imatch.fingerprints([*texts, texts[0] + " "], np.zeros(0, np.uint64))
+    a, b, again = imatch.fingerprints([*texts, texts[0] + " "], [])
     assert (a >= 0).any() and (b >= 0).any()
     assert imatch.likeness(a[None], b[None])[0] == 0
     assert imatch.likeness(a[None], again[None])[0] == 1
+
+
+def test_fingerprints_equal_sets_of_kept_terms(spark, monkeypatch):
+    """Lexicon, subsets and likeness by plain sets; also with a lexicon of several pieces."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdeé", k=4)) for _ in range(400)]
+    rows = [rng.choices(vocabulary, k=rng.choice([1, 3, 8, 60, 300])) for _ in range(60)]
+    rows += [rows[5], rows[6][:-1] + ["neu"], []]
+    texts = [" ".join(r).replace("a", "A") for r in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = {t: sum(t in r for r in map(set, rows)) for r in rows for t in r}
+    band = {t for t, n in held.items() if 0.03 * len(rows) <= n <= 0.2 * len(rows)}
+    assert 50 < len(band) < len(held)
+
+    def hashed(terms):
+        data = " ".join(terms)
+        return dict(zip(terms, words(next(segments(pa.array([data])))[2], LETTER_BYTES).hashes)) if terms else {}
+
+    def kept(row, subset):
+        own = set(row) & band
+        own = sorted(own if len(own) >= imatch.LEAST_TERMS else set(row))
+        codes = hashed(own)
+        return {t for t in own if imatch.in_subset(np.array([codes[t]]), subset)[0]}
+
+    sets = [[kept(r, k) for k in range(imatch.SUBSETS)] for r in rows]
+    for piece in (imatch.PIECE_TERMS, 17):
+        monkeypatch.setattr(imatch, "PIECE_TERMS", piece)
+        pieces = imatch.lexicon(docs, 0.03, 0.2)
+        assert sum(len(p.value) for p in pieces) == len(band)
+        found = imatch.fingerprints(texts, pieces)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                either = [k for k in range(imatch.SUBSETS) if a[k] or b[k]]
+                alike = sum(a[k] == b[k] for k in either) / len(either) if either else 1.0
+                assert imatch.likeness(found[i:i + 1], found[j:j + 1])[0] == alike
