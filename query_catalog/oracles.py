@@ -355,6 +355,10 @@ add("train_warm_start", trained(PTS, (1.0, 1.0, 1.0), 5, rule="sqrt", start=REFE
 add("train_with_intercept", trained(PTS, (2.0, 1.0, 1.0), 5, rule="sqrt", bias=1.0))
 add("train_scaled", trained(PTS, (1.0, 1.0, 1.0), 5, rule="sqrt", bias=1.0, scale=True))
 
+add("train_linear_pegasos_small_batch",
+    trained(PTS, (1.0, 0.02, 1.0), 12, **PLAIN))
+add("train_defaults", trained(PTS, (1.0, 1.0, 1.0), 100, bias=0.0, **PLAIN))
+
 RFF = 40
 
 
@@ -373,6 +377,7 @@ def rff_points(seed: int) -> str:
 
 add("rff_transform", f"WITH {rff_points(7)} {cells('pts', 'id')}")
 add("train_rff", trained(rff_points(7), (1.0, 1.0, 1.0), 5, width=RFF, **PLAIN))
+add("train_own_map", trained(rff_points(7), (2.0, 1.0, 1.0), 5, width=RFF, rule="pegasos"))
 
 LANDMARKS = 30
 

@@ -31,6 +31,7 @@ from hingeworks.plans.kernel import train_kernel_pegasos
 from hingeworks.sources import generators, labeled_text, traces
 from hingeworks.sources.scratch import fresh_path
 from query_catalog.inputs import (
+    WIDTH,
     ALPHA_DRAWS,
     LINEITEM_INTERCEPT,
     LINEITEM_WEIGHTS,
@@ -360,6 +361,26 @@ def train_linear_pegasos_lineitem(spark, folder):
     return trained(spark, linear.train_linear_pegasos(scaled, iterations=5, reg=REG))
 
 
+@query
+def train_linear_pegasos_small_batch(spark, folder):
+    """Batches that are taken out for many iterations at once."""
+    return trained(spark, linear.train_linear_pegasos(
+        embedding_points(spark, folder), iterations=12, reg=REG, fraction=0.02, bias=False))
+
+
+@query
+def train_defaults(spark, folder):
+    return trained(spark, linear.train_linear_pegasos(embedding_points(spark, folder)))
+
+
+@query
+def train_own_map(spark, folder):
+    """A feature map of the caller's, applied while the points are packed."""
+    mapping = RandomFourierMap.seeded(WIDTH, 40, seed=7)
+    return trained(spark, linear.train_pegasos(
+        embedding_points(spark, folder), iterations=5, step=2.0, reg=REG, feature_map=mapping.block))
+
+
 @query
 def train_pegasos(spark, folder):
     return trained(spark, linear.train_pegasos(
