@@ -86,3 +86,25 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(text) AS restored_sha256
 FROM parts
 """
+
+ORACLES["op5_near_duplicates"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE
+      WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+           FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+          WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a AS id, least(a, b) AS low FROM both_ways
+            UNION SELECT e.a, r.low FROM reached r JOIN both_ways e ON e.b = r.id),
+parts AS (SELECT id, min(low) AS low FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id,
+       coalesce(low, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN parts ON parts.id = d.doc_id
+"""
