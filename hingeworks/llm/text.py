@@ -94,7 +94,7 @@ def _prime_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
             table = np.ones(1, np.uint64)
             while len(table) < _STEP:
                 table = np.concatenate([table, table * np.uint64(pow(own, len(table), _PRIME)) % np.uint64(_PRIME)])
-            tables.append(table)
+            tables.append(table.astype(np.uint32))
         return tuple(tables)
 
     return worker_state(f"powers of {base}", make)
@@ -116,7 +116,7 @@ def _polynomials(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, base
         own = sums[first + 1: first + 1 + len(part)]
         np.cumsum(part, out=own)
         own += sums[first]
-    back = down[starts & (_STEP - 1)]
+    back = down[starts & (_STEP - 1)].astype(np.uint64)
     if len(symbols) > _STEP:
         inverse = pow(base, -_STEP, _PRIME)
         far = np.array([pow(inverse, k, _PRIME) for k in range(len(symbols) // _STEP + 1)], np.uint64)
