@@ -42,9 +42,14 @@ def test_equals_the_library_on_random_texts(texts):
 def test_table_finds_what_it_holds_and_grows_its_pool():
     table = PieceTable()
     hashes = np.unique(np.random.default_rng(0).integers(1, 1 << 63, 5000).astype(np.uint64))
-    table.add(hashes, [[n, n + 1] for n in range(len(hashes))])
+    sizes, checks = np.arange(len(hashes)) % 9, np.arange(len(hashes), dtype=np.uint32) * np.uint32(7)
+    table.add(hashes, [[n, n + 1] for n in range(len(hashes))], sizes, checks)
     runs = table.find(hashes)
     assert table.pool[runs >> 16].tolist() == list(range(len(hashes)))
+    assert len(table.differing(runs, sizes, checks)) == 0
+    checks[3] += 1
+    sizes[17] += 1
+    assert table.differing(runs, sizes, checks).tolist() == [3, 17]
     assert (table.find(hashes + np.uint64(1)) < 0).all()
     small = HashTable(8)  # collisions
     small.put(np.array([8, 16, 24], np.uint64), np.array([1, 2, 3]))
