@@ -84,7 +84,9 @@ LONG = "".join(chr(0x4E00 + n * 7919 % 20000) + "，" * (n % 12 == 0) for n in r
 def test_a_piece_of_any_number_of_ids():
     table, lengths = PieceTable(), [3, 65_534, 65_535, 65_536, 200_000, 1]
     hashes = np.arange(1, len(lengths) + 1, dtype=np.uint64)
-    table.add(hashes, [[n] * length for n, length in enumerate(lengths)])
+    sizes, checks = np.arange(6), np.arange(6, dtype=np.uint32)
+    table.add(hashes, [[n] * length for n, length in enumerate(lengths)], sizes, checks)
+    assert len(table.differing(table.find(hashes), sizes, checks)) == 0
     places, found = table.spans(table.find(hashes))
     assert found.tolist() == lengths
     for n, (a, length) in enumerate(zip(places, found)):
