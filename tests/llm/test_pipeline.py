@@ -79,3 +79,17 @@ def test_sketch_margin_follows_the_threshold():
     sketches[1, 0], sketches[1, 1] = ~np.uint64(0), np.uint64((1 << 22) - 1)  # 86 bits: once in 10^6 pairs
     assert list(near_dup.forest(sketches, sets, np.zeros(2), 80)) == [(0, 1)]
     assert int(near_dup.sketch_limit(near_dup.margin_similarity(85))) == 74
+
+def test_rows_of_one_id_with_different_texts(spark, make_folder, corpus):
+    """One row of an id stays, that with the smallest text, whatever the order of the rows."""
+    import corpus_pipeline
+
+    texts = {5: ["b b b b b b b", "a a a a a a a", None], 6: ["x y z", "x y z"], None: ["q", "q"]}
+    rows = [(i, t, str(n), None, 0, None, n) for i, own in texts.items() for n, t in enumerate(own)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long, kept string, score int")
+        found = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+        assert found.columns == docs.columns
+        kept.append(sorted((tuple(r) for r in found.collect()), key=str))
+    assert kept[0] == kept[1] and [r[1] for r in kept[0]] == ["a a a a a a a", "x y z", "q", "q"]
