@@ -25,8 +25,8 @@ from hingeworks.sources.scratch import fresh_path, written
 GRAM_BYTES = 64 * 1024 * 1024
 
 
-def _bands(drawn: DataFrame, order: list[int], parts: PointParts, kernel: Kernel, block: int) -> str:
-    """A folder with the kernel rows that each block of iterations needs, one band a block."""
+def _bands(drawn: DataFrame, order: list[int], parts: PointParts, kernel: Kernel, block: int) -> DataFrame:
+    """``(band, id, kernel_row)``: the kernel rows that each block of iterations needs, one band a block."""
     spark = drawn.sparkSession
     pairs = sorted({(i // block, drawn_id) for i, drawn_id in enumerate(order)})
     # At most one short row per iteration.
@@ -34,10 +34,12 @@ def _bands(drawn: DataFrame, order: list[int], parts: PointParts, kernel: Kernel
     rows = drawn.join(wanted, "id").select("band", "id", "features")
     # Features are dealt by band, so that a band is a file or few; kernel rows are not moved.
     count = pairs[-1][0] + 1
-    rows = rows.repartition(count, "band") if count > 1 else rows
+    if count == 1:  # read once, so not written
+        return kernel_row_table(rows, parts, kernel, ("band", "id"))
+    made = kernel_row_table(rows.repartition(count, "band"), parts, kernel, ("band", "id"))
     path = fresh_path(spark, "kernel_bands")
-    kernel_row_table(rows, parts, kernel, ("band", "id")).write.partitionBy("band").parquet(path)
-    return path
+    made.write.partitionBy("band").parquet(path)
+    return spark.read.schema("id long, kernel_row array<double>, band int").parquet(path)
 
 
 def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
@@ -68,8 +70,7 @@ def pegasos_alphas(points: DataFrame, iterations: int, reg: float, biased: bool,
     sign = parts.labels[by_id] * 2.0 - 1.0
     alpha = np.zeros(len(sign))
     block = max(1, GRAM_BYTES // (8 * len(sign)))
-    path = _bands(drawn, order, parts, kernel, block)
-    bands = spark.read.schema("id long, kernel_row array<double>, band int").parquet(path)
+    bands = _bands(drawn, order, parts, kernel, block)
     for start in range(0, iterations, block):
         band = bands.where(F.col("band") == start // block).toArrow().combine_chunks()
         rows = band.column("kernel_row").combine_chunks().flatten().to_numpy().reshape(band.num_rows, -1)
