@@ -4,11 +4,13 @@
 points, end exclusive, sorted by start. Kinds ``assign``, ``access`` and ``hex``
 are patterns, matched from the left without overlap per kind. Kind ``entropy``
 comes from candidate strings (runs of at least ``WINDOW`` characters of keys and
-encodings): a window slides over the candidate, character counts and the sum
-``c * log2(c)`` are updated by the one character that enters and the one that
-leaves, and windows whose Shannon entropy reaches the threshold of their
-character class are joined to a span. Strings of the allow-list and candidates
-that touch a pattern's span are left out.
+encodings): a window slides over the candidate, and the sum ``c * log2(c)`` of its
+character counts and the totals of each sort of character change by the one character
+that enters and the one that leaves. Windows whose Shannon entropy reaches the threshold of
+their character class are joined to a span. The classes are hexadecimal, letters with digits,
+encodings, and letters of mixed case that turns often; the last one alone is looked for in
+joined words. Strings of the allow-list and spans that touch a pattern's span are left out.
+All windows of a segment are worked out together, as arrays.
 
 Defined results: null and empty texts have no spans. Whole texts are read, of
 any length. Equal rows give equal spans. Nothing but the text is looked at.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,12 @@ from hingeworks.llm.text import LOWER, Segment, heavy_state, segments
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 # Bits; a window of 20 characters has 4.32 at most.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "encoded": 3.8}
+THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "encoded": 3.8, "mixed": 3.6}
+CLASSES = tuple(THRESHOLDS)
+# A window of mixed case has so many letters of either case at least, and more turns between them.
+MIXED = 7
+POINT = 1 << 32
+STRETCH = 1 << 20
 SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 # Patterns of the base kinds.
@@ -43,10 +51,11 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ALLOWED = tuple(re.compile(p) for p in (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9./_=+-]+",  # dates, numbers, phone numbers
-    r"(?:[A-Za-z]+[-_/+=])*[A-Za-z]+[0-9]{0,4}",  # joined words, one number at the end
     r"(?:www|https?)[A-Za-z0-9+/_=-]*",
     r"(.)\1*",
 ))
+# Fixed value: joined words, one number at the end; only letters of mixed case are looked at there.
+WORDS = re.compile(r"(?:[A-Za-z]+[-_/+=])*[A-Za-z]+[0-9]{0,4}")
 
 
 def _flags(characters: bytes) -> np.ndarray:
@@ -56,76 +65,146 @@ def _flags(characters: bytes) -> np.ndarray:
 
 
 _HEX = _flags(b"0123456789abcdef")
+_DIGITS, _UPPER, _LOWER = (_flags(c.encode()) for c in (string.digits, string.ascii_uppercase, string.ascii_lowercase))
+# Digits, upper case, lower case, other characters, hexadecimal digits.
+_SORTS = (_DIGITS, _UPPER, _LOWER, ~(_DIGITS | _UPPER | _LOWER), _flags(string.hexdigits.encode()))
 _CANDIDATE = _flags(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 
 def _runs(segment: Segment, flags: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of marked bytes inside documents, of at least ``least`` bytes."""
-    # A document's first byte ends the run before it.
     inside = flags[segment.data]
-    breaks = np.flatnonzero(~inside)
-    edges = segment.offsets
-    starts = np.unique(np.concatenate([breaks + 1, edges[:-1]]))
-    starts = starts[starts < len(inside)]
-    starts = starts[inside[starts]]
-    ends = np.unique(np.concatenate([breaks, edges[1:]]))
-    stop = ends[np.searchsorted(ends, starts, side="right")]
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    # A document's first byte ends the run before it.
+    edge[segment.offsets] = True
+    edges = np.flatnonzero(edge)
+    held = inside[edges[:-1]]
+    starts, stop = edges[:-1][held], edges[1:][held]
     kept = stop - starts >= least
     return starts[kept], stop[kept]
 
 
+def classes(digits, upper, lower, others, hexed) -> np.ndarray:
+    """Number of the class in ``CLASSES`` of windows with so many characters of each sort.
+
+    Windows that ordinary words are like have none (-1): under two digits, under two
+    letters or over four other characters.
+    """
+    letters = upper + lower
+    odd = (digits < 2) | (letters < 2) | (others > 4)
+    one_case = (hexed == WINDOW) & ((upper == 0) | (lower == 0))
+    return np.select([odd, one_case, others > 0], [-1, 0, 2], 1)
+
+
 def window_class(counts: dict[str, int]) -> str | None:
-    """Character class of a window; None where ordinary words are as mixed."""
-    digits = letters = upper = lower = others = hexed = 0
-    for c, n in counts.items():
-        if c.isdigit():
-            digits += n
-        elif c.isalpha():
-            letters += n
-            if c.isupper():
-                upper += n
-            else:
-                lower += n
-        else:
-            others += n
-        hexed += n if c in "0123456789abcdefABCDEF" else 0
-    if digits < 2 or letters < 2 or others > 4:
-        return None
-    if hexed == WINDOW and not (upper and lower):
-        return "hex"
-    return "encoded" if others else "alnum"
+    """Character class of a window of these characters; None where ordinary words are as mixed."""
+    digits, upper, lower, others, hexed = (sum(n for c, n in counts.items() if sort[ord(c)]) for sort in _SORTS)
+    number = int(classes(digits, upper, lower, others, hexed))
+    return CLASSES[number] if number >= 0 else None
+
+
+def _window_weights(data: np.ndarray, run: np.ndarray, window: int) -> np.ndarray:
+    """Sum of ``c * log2(c)`` over the characters of the window that ends at each place.
+
+    A step adds the character that enters and drops the one that leaves. ``before``
+    counts an entering character among those already in the window, ``after`` a leaving
+    one among those that stay; both are found by ``window - 1`` comparisons of the
+    data with itself moved.
+    """
+    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    for step in range(1, window):
+        same = (data[step:] == data[:-step]) & (run[step:] == run[:-step])
+        before[step:] += same
+        after[:-step] += same
+    n = np.arange(1, window + 1)
+    # In fixed point, so that sums are exact wherever a run begins.
+    log = np.concatenate([[0], np.round(n * np.log2(n) * POINT).astype(np.int64)])
+    rise = np.diff(log)
+    change = rise[before]
+    leaves = run[window:] == run[:-window]
+    change[window:][leaves] -= rise[after[:-window][leaves]]
+    sums = np.cumsum(change)
+    # A run starts with an empty window.
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    return sums - np.repeat(np.concatenate([[0], sums])[starts], np.diff(starts, append=len(run)))
+
+
+def _marked(data: np.ndarray, run: np.ndarray, mixed_only: np.ndarray, window: int) -> np.ndarray:
+    """Ends (inclusive) of the windows, inside one run, whose entropy reaches their class's threshold."""
+    if len(data) < window:
+        return np.zeros(0, np.int64)
+
+    def total(flags: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        return sums[window:] - sums[:-window]
+
+    weights = _window_weights(data, run, window)[window - 1:]
+    sorts = [total(flags[data]) for flags in _SORTS]
+    digits, upper, lower, others, _ = sorts
+    kind = np.where(mixed_only[window - 1:], -1, classes(*sorts))
+    turns = np.zeros(len(data), bool)
+    turns[1:] = _SORTS[1][data[1:]] & _SORTS[2][data[:-1]] | _SORTS[2][data[1:]] & _SORTS[1][data[:-1]]
+    # The first place of a window has nothing before it to differ from.
+    turned = total(turns) - turns[: len(data) - window + 1]
+    mixed = (kind < 0) & (digits < 2) & (others <= 4) & (upper >= MIXED) & (lower >= MIXED) & (turned > MIXED)
+    kind[mixed] = CLASSES.index("mixed")
+    most = np.array([(math.log2(window) - THRESHOLDS[c] + 1e-9) * window * POINT for c in CLASSES])
+    inside = run[window - 1:] == run[: len(data) - window + 1]
+    return np.flatnonzero(inside & (kind >= 0) & (weights <= most[kind])) + window - 1
+
+
+def _joined_windows(data: np.ndarray, run: np.ndarray, mixed_only: np.ndarray, window: int
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``[start, end)`` of joined windows; runs are worked through ``STRETCH`` places at a time."""
+    parts = [np.zeros(0, np.int64)]
+    for first in range(0, len(data), STRETCH):
+        part = slice(first, first + STRETCH + window - 1)
+        parts.append(_marked(data[part], run[part], mixed_only[part], window) + first)
+    ends = np.concatenate(parts)
+    breaks = (np.diff(ends) > window) | (run[ends[1:]] != run[ends[:-1]])
+    opening, closing = np.append(True, breaks), np.append(breaks, True)
+    return (ends[opening[: len(ends)]] - window + 1, ends[closing[: len(ends)]] + 1)
 
 
 def entropy_spans(candidate: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Joined windows whose entropy reaches the threshold of their class."""
-    log = [0.0, *(n * math.log2(n) for n in range(1, window + 2))]
-    counts: dict[str, int] = {}
-    weight, found = 0.0, []
-
-    def change(c: str, step: int) -> float:
-        before = counts.get(c, 0)
-        if before + step:
-            counts[c] = before + step
-        else:
-            del counts[c]
-        return log[before + step] - log[before]
-
-    for end, c in enumerate(candidate, 1):
-        weight += change(c, 1)
-        if end > window:
-            weight += change(candidate[end - window - 1], -1)
-        if end >= window:
-            kind = window_class(counts)
-            if kind and math.log2(window) - weight / window >= THRESHOLDS[kind] - 1e-9:
-                if found and found[-1][1] >= end - window:
-                    found[-1] = (found[-1][0], end)
-                else:
-                    found.append((end - window, end))
-    return found
+    """Joined windows of one candidate whose entropy reaches the threshold of their class."""
+    data = np.frombuffer(candidate.encode("ascii"), np.uint8)
+    only = np.full(len(data), WORDS.fullmatch(candidate) is not None)
+    starts, ends = _joined_windows(data, np.zeros(len(data), np.int64), only, window)
+    return list(zip(starts.tolist(), ends.tolist()))
 
 
 def allowed(candidate: str) -> bool:
-    return any(p.fullmatch(candidate) for p in ALLOWED)
+    """Whether the candidate is a harmless string; joined words only where no window is of mixed case."""
+    return any(p.fullmatch(candidate) for p in ALLOWED) or (
+        WORDS.fullmatch(candidate) is not None and not entropy_spans(candidate))
+
+
+def _candidates(segment: Segment, raw: bytes) -> tuple[np.ndarray, ...]:
+    """Characters of all candidates that may hold secrets: their places, runs and whether they are joined words."""
+    places, runs, worded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for n, (start, end) in enumerate(zip(*_runs(segment, _CANDIDATE, WINDOW))):
+        candidate = raw[start:end].decode()
+        like_words = WORDS.fullmatch(candidate) is not None
+        if like_words and (candidate.islower() or candidate.isupper()):
+            continue
+        if not like_words and any(p.fullmatch(candidate) for p in ALLOWED):
+            continue
+        places.append(np.arange(start, end))
+        runs.append(np.full(end - start, n))
+        worded.append(np.full(end - start, like_words))
+    return np.concatenate(places), np.concatenate(runs), np.concatenate(worded)
+
+
+def _apart(starts: np.ndarray, ends: np.ndarray, taken: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which spans share no character with those taken."""
+    if not taken:
+        return np.ones(len(starts), bool)
+    held = np.array(sorted((s, e) for _, s, e in taken))
+    before = np.searchsorted(held[:, 0], ends)
+    furthest = np.concatenate([[-1], np.maximum.accumulate(held[:, 1])])
+    return furthest[before] <= starts
 
 
 def _segment_spans(segment: Segment) -> list[list[tuple[str, int, int]]]:
@@ -156,17 +235,15 @@ def _segment_spans(segment: Segment) -> list[list[tuple[str, int, int]]]:
             for m in pattern.finditer(raw[offsets[i]: offsets[i + 1]].decode()):
                 if len(m[group]) >= LEAST[kind]:
                     found[i].append((kind, m.start(), m.end()))
-    for start, end in zip(*_runs(segment, _CANDIDATE, WINDOW)):
-        candidate = raw[start:end].decode()
-        if candidate.isalpha() or allowed(candidate):
-            continue
-        i = int(np.searchsorted(offsets, start, side="right")) - 1
-        base = place(i, start)
-        added = [(base + a, base + b) for a, b in entropy_spans(candidate)]
-        found[i] += [
-            ("entropy", a, b) for a, b in added
-            if not any(s < b and a < e for k, s, e in found[i] if k != "entropy")
-        ]
+    places, runs, worded = _candidates(segment, raw)
+    starts, ends = _joined_windows(data[places], runs, worded, WINDOW)
+    first, last = places[starts], places[ends - 1] + 1
+    owners = np.searchsorted(offsets, first, side="right") - 1
+    first, last = (characters[edge] - characters[offsets[owners]] for edge in (first, last))
+    for i in np.unique(owners):
+        own = slice(*np.searchsorted(owners, [i, i + 1]))
+        apart = _apart(first[own], last[own], found[i])
+        found[i] += [("entropy", a, b) for a, b in zip(first[own][apart].tolist(), last[own][apart].tolist())]
     for own in found:
         own.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return found

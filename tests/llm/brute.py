@@ -41,6 +41,51 @@ def base_secrets(text):
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found))
 
 
+def entropy_class(window):
+    """Class and threshold of a window of 20 characters, or None."""
+    digits, upper, lower = (sum(c in "0123456789" for c in window), sum("A" <= c <= "Z" for c in window),
+                            sum("a" <= c <= "z" for c in window))
+    others = 20 - digits - upper - lower
+    if digits >= 2 and upper + lower >= 2 and others <= 4:
+        if all(c in "0123456789abcdefABCDEF" for c in window) and not (upper and lower):
+            return "hex", 3.0
+        return ("encoded", 3.8) if others else ("alnum", 3.6)
+    turns = sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(window, window[1:]))
+    if digits < 2 and others <= 4 and upper >= 7 and lower >= 7 and turns >= 8:
+        return "mixed", 3.6
+    return None
+
+
+def all_secrets(text):
+    """Base spans and entropy spans of a text, window by window, as ``kind:start:end``."""
+    text = text or ""
+    base = [s.split(":") for s in base_secrets(text).split(",") if s]
+    found = [(int(a), ("assign", "access", "hex").index(k), k, int(b)) for k, a, b in base]
+    taken = [(a, b) for a, _, _, b in found]
+    uuid = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        own = run[0]
+        if (uuid.fullmatch(own) or not re.search("[A-Za-z]", own) or re.match("www|https?", own)
+                or len(set(own)) == 1):
+            continue
+        words = re.fullmatch("([A-Za-z]+[-_/+=])*[A-Za-z]+[0-9]{0,4}", own)
+        spans = []
+        for start in range(len(own) - 19):
+            window = own[start:start + 20]
+            kind = entropy_class(window)
+            if not kind or (words and kind[0] != "mixed"):
+                continue
+            if -sum(n / 20 * math.log2(n / 20) for n in Counter(window).values()) >= kind[1] - 1e-9:
+                if spans and spans[-1][1] >= start:
+                    spans[-1][1] = start + 20
+                else:
+                    spans.append([start, start + 20])
+        for a, b in ((run.start() + a, run.start() + b) for a, b in spans):
+            if not any(s < b and a < e for s, e in taken):
+                found.append((a, 3, "entropy", b))
+    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found))
+
+
 def quality_base(text):
     text = text or ""
     found = WORD.findall(text)

@@ -47,6 +47,7 @@ def test_op3_base_spans(spark, folder):
         assert found[i].base_sha256 == brute.sha256(expected)
         spans = [s for s in found[i].spans.split(",") if s]
         assert [s for s in spans if not s.startswith("entropy")] == [s for s in expected.split(",") if s]
+        assert found[i].spans == brute.all_secrets(text)
 
 
 def test_op4_equals_a_dictionary_model(spark, folder):
